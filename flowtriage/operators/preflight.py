@@ -303,6 +303,17 @@ def known_genome(genome: Column, field: str) -> Column:
     )
 
 
+def genome_usage(settings: DataFrame, genomes: DataFrame) -> DataFrame:
+    """Known genomes with the number of configs that resolve to each."""
+    used = settings.groupBy(known_genome(F.col("genome"), "ordinal").cast("int").alias("ordinal")).agg(
+        F.count("*").alias("n_configs")
+    )
+    return genomes.join(used, "ordinal", "left").select(
+        F.col("ordinal").cast("bigint").alias("ordinal"), "name", "star_gb", "bwa_gb", "hisat2_gb", "size_gb",
+        F.coalesce("n_configs", F.lit(0)).alias("n_configs"),
+    )
+
+
 def memory_genome_check(memory: Column, genome: Column) -> Column:
     need = known_genome(genome, "star_gb")
     gb, need_text = number_text(memory), need.cast("bigint")
