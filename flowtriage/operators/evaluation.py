@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowtriage.functions.arrays import computed
 from flowtriage.functions.catalog import CLEAN, DIAGNOSIS_DEFAULT_ICON, DIAGNOSIS_DEFAULT_SEVERITY
 from flowtriage.functions.ranking import hash_position
 
@@ -87,11 +88,11 @@ def alternatives(probabilities: DataFrame) -> DataFrame:
 
     ``probabilities`` holds run_id, predicted and ``ranked`` (label, probability) structs.
     """
-    return probabilities.select("run_id", "predicted", F.explode("ranked").alias("r")).where(
+    return probabilities.select("run_id", "predicted", F.explode(computed("ranked")).alias("r")).where(
         (F.col("r.label") != F.col("predicted"))
         & (F.col("r.label") != CLEAN)
         & (F.col("r.probability") > ALTERNATIVE_THRESHOLD)
-    ).select("run_id", F.col("r.label").alias("alternative"), F.col("r.probability").alias("probability"))
+    ).select("run_id", "predicted", F.col("r.label").alias("alternative"), F.col("r.probability").alias("probability"))
 
 
 def confidence_shares(verdicts: DataFrame) -> DataFrame:

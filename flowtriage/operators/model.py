@@ -122,8 +122,8 @@ class TriageClassifier:
             seed=self.seed,
         )
         return OneVsRest(
-            classifier=trees, featuresCol="features", labelCol="label_idx", rawPredictionCol="margins",
-            predictionCol="prediction_idx", parallelism=self.parallelism,
+            classifier=trees, featuresCol="features", labelCol="label_idx", predictionCol="prediction_idx",
+            parallelism=self.parallelism,
         )
 
     def prepare(self, runs: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ class TriageClassifier:
         self._require(self.model)
         names = F.array(*[F.lit(x) for x in self.labels])
         # A boosted margin m stands for a probability of 1 / (1 + exp(-2m)).
-        scores = F.transform(vector_to_array("margins"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        scores = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
         total = F.aggregate("_scores", F.lit(0.0), lambda a, x: a + x)
         ranked = F.array_sort(
             F.transform(
@@ -176,7 +176,7 @@ class TriageClassifier:
             )
             .withColumn("predicted", F.get("ranked", F.lit(0))["label"])
             .withColumn("confidence", F.get("ranked", F.lit(0))["probability"])
-            .drop("_scores", "_total", "margins", "prediction_idx")
+            .drop("_scores", "_total", "rawPrediction", "prediction_idx")
         )
 
     def predict(self, runs: DataFrame) -> DataFrame:

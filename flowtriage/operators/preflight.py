@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtriage.functions import rx
+from flowtriage.functions.arrays import computed
 from flowtriage.functions.catalog import (
     DEFAULT_GENOME_SIZE_GB,
     DISK_PER_SAMPLE_GB,
@@ -156,7 +157,7 @@ def fastq_checks(validated: DataFrame, manifest: DataFrame) -> DataFrame:
     remote = reduce(lambda a, b: a | b, [F.col("path").startswith(s) for s in REMOTE_SCHEMES])
     paths = (
         validated.where(F.col("summary").isNotNull())
-        .select("sheet_id", F.inline("rows"))
+        .select("sheet_id", F.inline(computed("rows")))
         .select("sheet_id", F.inline(slots))
         .where(_filled(F.col("path")) & ~remote)
     )
@@ -516,7 +517,7 @@ def run(
 
 def all_checks(reports: DataFrame) -> DataFrame:
     """One row per check, ``ord`` from 1 in emission order."""
-    return reports.select("case_id", F.posexplode("checks").alias("pos", "c")).select(
+    return reports.select("case_id", F.posexplode(computed("checks")).alias("pos", "c")).select(
         "case_id", "c.stage", (F.col("pos") + 1).cast("bigint").alias("ord"), "c.check", "c.status", "c.severity",
         "c.message", "c.details",
     )

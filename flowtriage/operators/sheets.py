@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtriage.functions import rx
+from flowtriage.functions.arrays import computed
 from flowtriage.functions.catalog import FASTQ_SUFFIXES, REQUIRED_COLUMNS, STRANDEDNESS
 
 # Rule names in emission order within their stage.
@@ -61,7 +62,7 @@ def parse(sheets: DataFrame) -> DataFrame:
 
 
 def sheet_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.where(~F.col("is_empty")).select("sheet_id", F.inline("rows"))
+    return parsed.where(~F.col("is_empty")).select("sheet_id", F.inline(computed("rows")))
 
 
 def _present(value: Column) -> Column:
@@ -197,7 +198,7 @@ def issues(validated: DataFrame) -> DataFrame:
         F.when(F.col("type") == "critical", "fail").when(F.col("type") == "warning", "warn").otherwise("skip")
     )
     return (
-        validated.select("sheet_id", F.posexplode("issues").alias("pos", "i"))
+        validated.select("sheet_id", F.posexplode(computed("issues")).alias("pos", "i"))
         .select("sheet_id", (F.col("pos") + 1).cast("bigint").alias("ord"), "i.*")
         .withColumn("display", shown)
     )

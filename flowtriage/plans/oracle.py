@@ -334,7 +334,7 @@ SELECTS: dict[str, str] = {
  (SELECT count(*) FROM runs r WHERE r.label = c.id) AS n_runs FROM catalog c""",
     "genome_catalog": """SELECT ordinal::BIGINT AS ordinal, name, star_gb::DOUBLE AS star_gb, bwa_gb::DOUBLE AS bwa_gb, hisat2_gb::DOUBLE AS hisat2_gb,
  size_gb::DOUBLE AS size_gb, (SELECT count(*) FROM first_genome f WHERE f.name = g.name) AS n_configs FROM genomes g""",
-    "corpus_index": """SELECT concat(label, '_', lpad(cast(n AS VARCHAR), greatest(4, length(cast(n AS VARCHAR))), '0'), '.log') AS filename, label, pipeline, executor FROM (
+    "corpus_index": """SELECT concat(label, '_', lpad(cast(n AS VARCHAR), greatest(4, length(cast(n AS VARCHAR)))::INTEGER, '0'), '.log') AS filename, label, pipeline, executor FROM (
  SELECT *, row_number() OVER (ORDER BY md5(cast(run_id AS VARCHAR))) - 1 AS n FROM runs)""",
     "log_lines": f"SELECT run_id, line_num, {strip('line')} AS text FROM lines",
     "detect_counts": "SELECT run_id, id, match_count FROM detected",

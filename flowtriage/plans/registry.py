@@ -8,6 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtriage.functions.arrays import computed
 from flowtriage.functions.catalog import EXIT_ONE_HOT, MARKER_REGEXES, feature_names
 from flowtriage.operators import (
     classification,
@@ -115,7 +116,7 @@ def corpus_index(spark, sf):
 
 @query
 def model_roundtrip(spark, sf):
-    folder = f"{checkpoint_dir(spark)}/flowtriage-model-{abs(hash(sf))}"
+    folder = f"{checkpoint_dir(spark)}/flowtriage-model-{sf.rstrip('/').rsplit('/', 1)[-1]}"
     trained(spark, sf).save(folder)
     loaded = TriageClassifier.load(spark, folder)
     runs = _runs(spark, sf)
@@ -365,7 +366,7 @@ def classification_report(spark, sf):
 def predict_top5(spark, sf):
     predicted = trained(spark, sf).predict(_runs(spark, sf))
     return predicted.select(
-        "run_id", "label", F.explode("probabilities").alias("class", "probability")
+        "run_id", "label", F.inline(F.map_entries("probabilities")).alias("class", "probability")
     ).withColumn("probability", F.round("probability", 6))
 
 
@@ -385,7 +386,7 @@ def _contributions(spark, sf):
 def top_features(spark, sf):
     return _rounded(
         _contributions(spark, sf)
-        .select("run_id", F.posexplode("top_features").alias("pos", "f"))
+        .select("run_id", F.posexplode(computed("top_features")).alias("pos", "f"))
         .select("run_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "f.*")
     )
 
@@ -494,7 +495,7 @@ def sheet_strandedness(spark, sf):
 @query
 def sheet_duplicates(spark, sf):
     return sheets.with_duplicates(sheets.parse(corpus(spark, sf, "sheets"))).where(~F.col("is_empty")).select(
-        "sheet_id", F.inline("duplicates")
+        "sheet_id", F.inline(computed("duplicates"))
     )
 
 
@@ -513,7 +514,7 @@ def sheet_issues(spark, sf):
 
 @query
 def pf_sheet_checks(spark, sf):
-    return preflight.structure_checks(_validated(spark, sf)).select("sheet_id", F.posexplode("checks").alias("pos", "c")).select(
+    return preflight.structure_checks(_validated(spark, sf)).select("sheet_id", F.posexplode(computed("checks")).alias("pos", "c")).select(
         "sheet_id", (F.col("pos") + 1).cast("bigint").alias("ord"), "c.check", "c.status", "c.severity", "c.message"
     )
 
@@ -573,7 +574,7 @@ def pf_engine_check(spark, sf):
 @query
 def pf_references(spark, sf):
     found = preflight.reference_checks(_settings(spark, sf), corpus(spark, sf, "manifest"))
-    return found.select("config_id", F.posexplode("reference_checks").alias("pos", "c")).select(
+    return found.select("config_id", F.posexplode(computed("reference_checks")).alias("pos", "c")).select(
         "config_id", (F.col("pos") + 1).cast("bigint").alias("ord"), "c.check", "c.status", "c.severity", "c.message"
     )
 
