@@ -8,11 +8,12 @@ Java needs the flags below to agree.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowtriage.functions import sql
+
 IGNORE_CASE = "(?iudU)"
 KEEP_CASE = "(?dU)"
 MULTILINE = "(?mdU)"
@@ -42,24 +43,25 @@ def fold(col: Column) -> Column:
     return F.lower(F.translate(col, _FOLD_FROM, _FOLD_TO))
 
 
-def hits(folded: Column, pattern: str) -> Column:
-    """Whether a pattern occurs in folded text, ignoring case.
+def hits(column: str, pattern: str) -> str:
+    """SQL test whether a pattern occurs in a folded text column, ignoring case.
 
     The longest string every match must hold is looked for first: Java scans
     for a plain string with skips, while ``a.*b`` patterns backtrack, and most
     texts hold none of the strings.
     """
+    full = f"{column} RLIKE {sql.regex(_folded_regex(pattern))}"
     literals = _required_literals(pattern)
     if not literals:
-        return folded.rlike(_folded_regex(pattern))
+        return f"({full})"
     longest = max(literals, key=len)
-    gate = folded.rlike(longest.replace(".", r"\."))
+    gate = f"{column} RLIKE {sql.regex(longest.replace('.', chr(92) + '.'))}"
     is_literal = longest == pattern.replace(r"\.", ".").lower()
-    return gate if is_literal else gate & folded.rlike(_folded_regex(pattern))
+    return f"({gate})" if is_literal else f"({gate} AND {full})"
 
 
-def hits_any(folded: Column, patterns) -> Column:
-    return reduce(lambda a, b: a | b, [hits(folded, p) for p in patterns])
+def hits_any(column: str, patterns) -> str:
+    return "(" + " OR ".join(hits(column, p) for p in patterns) + ")"
 
 
 def any_of(patterns) -> str:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtriage.functions import rx
+from flowtriage.functions import rx, sql
+from flowtriage.functions.arrays import computed
 from flowtriage.functions.catalog import CATEGORIES, SEVERITIES, Category
 from flowtriage.operators import detection, processes
 
@@ -82,20 +83,13 @@ def regex_reference(runs: DataFrame, regexes: DataFrame, catalog: list[Category]
 
     One scan sums all regexes at once; only that single row is unpivoted.
     """
-    patterns = [(c.id, i, p) for c in catalog for i, p in enumerate(c.regexes)]
+    counted = ", ".join(
+        sql.struct(id=sql.string(c.id), regex_pos=str(i), n_runs=f"count_if({rx.hits('_folded', p)})")
+        for c in catalog
+        for i, p in enumerate(c.regexes)
+    )
     folded = runs.select(rx.fold(F.col("text")).alias("_folded"))
-    sums = folded.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(cid).alias("id"),
-                    F.lit(i).alias("regex_pos"),
-                    F.count_if(rx.hits(F.col("_folded"), p)).alias("n_runs"),
-                )
-                for cid, i, p in patterns
-            ]
-        ).alias("sums")
-    ).select(F.inline("sums"))
+    sums = folded.agg(F.expr(f"array({counted})").alias("sums")).select(F.inline(computed("sums")))
     return regexes.join(F.broadcast(sums), ["id", "regex_pos"]).select(
         "family", "id", "severity", F.col("regex_pos").cast("bigint").alias("regex_pos"), "regex", "n_runs"
     )

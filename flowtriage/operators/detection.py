@@ -7,12 +7,10 @@ corpus of any size is triaged in one scan without a shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtriage.functions import rx
+from flowtriage.functions import rx, sql
 from flowtriage.functions.catalog import CATEGORIES, DEFAULT_SEVERITY, Category
 
 LINE_BREAK = "\n"
@@ -25,21 +23,17 @@ def lines(runs: DataFrame) -> DataFrame:
     )
 
 
-def match_count(folded: Column, category: Category) -> Column:
-    """How many distinct regexes of a category occur in the folded text."""
-    return reduce(lambda a, b: a + b, [rx.hits(folded, p).cast("int") for p in category.regexes])
-
-
-def confidence(count: Column) -> Column:
-    return F.least(F.lit(0.5) + count * F.lit(0.2), F.lit(0.99))
+def match_count(category: Category, folded: str = "_folded") -> str:
+    """SQL: how many distinct regexes of a category occur in the folded text."""
+    return " + ".join(f"CAST({rx.hits(folded, p)} AS INT)" for p in category.regexes)
 
 
 def with_counts(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFrame:
     """Add ``counts``: one struct field per category with its match count."""
-    folded = runs.withColumn("_folded", rx.fold(F.col("text")))
-    return folded.withColumn(
-        "counts", F.struct(*[match_count(F.col("_folded"), c).alias(c.id) for c in catalog])
-    ).drop("_folded")
+    counts = sql.struct(**{c.id: match_count(c) for c in catalog})
+    return (
+        runs.withColumn("_folded", rx.fold(F.col("text"))).withColumn("counts", F.expr(counts)).drop("_folded")
+    )
 
 
 def _detected_array(catalog: list[Category]) -> Column:
@@ -48,27 +42,27 @@ def _detected_array(catalog: list[Category]) -> Column:
     Sorting (-confidence, ordinal) structs is the stable descending sort by
     confidence; a catalogue's worth of entries at most, so it belongs in the row.
     """
-    found = F.array(
-        *[
-            F.when(
-                F.col("counts")[c.id] > 0,
-                F.struct(
-                    (-confidence(F.col("counts")[c.id])).alias("order"),
-                    F.lit(i).alias("ordinal"),
-                    F.struct(
-                        F.lit(c.id).alias("id"),
-                        F.lit(c.label).alias("label"),
-                        F.lit(c.severity or DEFAULT_SEVERITY).alias("severity"),
-                        F.lit(c.icon).alias("icon"),
-                        F.col("counts")[c.id].cast("bigint").alias("match_count"),
-                        confidence(F.col("counts")[c.id]).alias("confidence"),
-                    ).alias("d"),
-                ),
-            )
-            for i, c in enumerate(catalog)
-        ]
+    found = ", ".join(
+        f"CASE WHEN counts.{c.id} > 0 THEN "
+        + sql.struct(
+            order=f"-least(0.5D + counts.{c.id} * 0.2D, 0.99D)", ordinal=str(i), match_count=f"CAST(counts.{c.id} AS BIGINT)"
+        )
+        + " END"
+        for i, c in enumerate(catalog)
+    )
+    texts = ", ".join(
+        sql.struct(
+            id=sql.string(c.id), label=sql.string(c.label), severity=sql.string(c.severity or DEFAULT_SEVERITY),
+            icon=sql.string(c.icon),
+        )
+        for c in catalog
+    )
+    entry = sql.struct(
+        **{field: f"get(array({texts}), x.ordinal).{field}" for field in ("id", "label", "severity", "icon")},
+        match_count="x.match_count",
+        confidence="-x.order",
     )
-    return F.transform(F.array_sort(F.array_compact(found)), lambda x: x["d"])
+    return F.expr(f"transform(array_sort(array_compact(array({found}))), x -> {entry})")
 
 
 def with_detections(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFrame:

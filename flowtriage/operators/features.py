@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtriage.functions import rx
+from flowtriage.functions import rx, sql
 from flowtriage.functions.catalog import (
     CATEGORIES,
     ERROR_LINE_REGEX,
@@ -42,7 +42,7 @@ def _marker(name: str) -> Column:
     if name == "has_stack_trace":
         found = F.col("text").rlike(rx.MULTILINE + MARKER_REGEXES[name])
     else:
-        found = rx.hits_any(F.col("_folded"), MARKER_REGEXES[name].split("|"))
+        found = F.expr(rx.hits_any("_folded", MARKER_REGEXES[name].split("|")))
     return found.cast("bigint")
 
 
@@ -63,7 +63,7 @@ def features(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFrame
             _lines_with(folded, ERROR_LINE_REGEX).alias("n_error_lines"),
             _lines_with(folded, WARNING_LINE_REGEX).alias("n_warning_lines"),
             *[_marker(name).alias(name) for name in MARKER_REGEXES],
-            *[detection.match_count(folded, c).cast("bigint").alias(f"regex_{c.id}") for c in catalog],
+            *[F.expr(f"CAST({detection.match_count(c)} AS BIGINT)").alias(f"regex_{c.id}") for c in catalog],
         )
     )
     available, processes = F.col("memory_available_gb"), F.col("n_processes")
@@ -81,14 +81,8 @@ def features(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFrame
 
 def feature_pairs(catalog: list[Category] = CATEGORIES, offset: int = 0) -> Column:
     """Non-zero features of a feature row as (idx, value) structs."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(name) != 0,
-                    F.struct(F.lit(offset + i).alias("idx"), F.col(name).cast("double").alias("value")),
-                )
-                for i, name in enumerate(feature_names(catalog))
-            ]
-        )
+    pairs = ", ".join(
+        f"CASE WHEN {name} <> 0 THEN " + sql.struct(idx=str(offset + i), value=f"CAST({name} AS DOUBLE)") + " END"
+        for i, name in enumerate(feature_names(catalog))
     )
+    return F.expr(f"array_compact(array({pairs}))")

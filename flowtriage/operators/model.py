@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowtriage.functions import sql
 from flowtriage.functions.catalog import CATEGORIES, Category, feature_names
 from flowtriage.functions.ranking import hash_position
 from flowtriage.operators import text
@@ -74,8 +75,8 @@ def label_index(runs: DataFrame) -> DataFrame:
 
 def top_contributions(pairs: Column, importances: list[float], names: list[str], n: int = TOP_FEATURES) -> Column:
     """Largest importance x |value| products above zero, ties by feature order."""
-    importance = F.array(*[F.lit(float(i)) for i in importances])
-    feature = F.array(*[F.lit(name) for name in names])
+    importance = F.expr("array(" + ", ".join(f"{float(i)!r}D" for i in importances) + ")")
+    feature = F.expr("array(" + ", ".join(sql.string(name) for name in names) + ")")
     scored = F.transform(
         pairs,
         lambda p: F.struct(

@@ -9,12 +9,13 @@ adaptive skew join, since each look-up side has one row per key.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowtriage.functions import rx
+from flowtriage.functions import rx, sql
 from flowtriage.functions.arrays import computed
 from flowtriage.functions.catalog import (
     DEFAULT_GENOME_SIZE_GB,
@@ -48,37 +49,36 @@ _REFERENCES = (  # setting, check name, message when missing
 )
 
 
-def check(name: str | Column, status: str, *message: str | Column, severity: Column | None = None) -> Column:
-    """A check struct; message parts are literals or columns."""
-    parts = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in message]
-    return F.struct(
-        (F.lit(name) if isinstance(name, str) else name).alias("check"),
-        F.lit(status).alias("status"),
-        (F.lit(_SEVERITY[status]) if severity is None else severity).alias("severity"),
-        F.concat(*parts).alias("message"),
-        F.lit(None).cast("array<string>").alias("details"),
+def check(name: str, status: str, message: str, severity: str | None = None) -> str:
+    """SQL of a check struct; name and message are SQL expressions."""
+    return sql.struct(
+        check=name,
+        status=sql.string(status),
+        severity=severity or sql.string(_SEVERITY[status]),
+        message=message,
+        details="CAST(NULL AS ARRAY<STRING>)",
     )
 
 
-def _checks(*found: Column) -> Column:
-    return F.array_compact(F.array(*found)).cast(CHECKS_TYPE)
+def message(template: str) -> str:
+    """SQL of a message whose ``{...}`` parts are SQL expressions."""
+    parts = re.split(r"\{(.*?)\}", template)
+    return "concat(" + ", ".join(p if i % 2 else sql.string(p) for i, p in enumerate(parts) if p) + ")"
 
 
-def no_checks() -> Column:
-    return F.array().cast(CHECKS_TYPE)
+def _found(name: str, status: str, template: str) -> str:
+    return check(sql.string(name), status, message(template))
 
 
-def _filled(text: Column) -> Column:
-    """Whether an optional text was given: neither NULL nor ''."""
-    return F.coalesce(text, F.lit("")) != ""
+def check_array(*checks: str) -> Column:
+    """The checks that apply, as an array column; a check is NULL if it does not."""
+    return F.expr(f"CAST(array_compact(array({', '.join(checks)})) AS {CHECKS_TYPE})")
 
 
-def number_text(value: Column) -> Column:
-    """A double as text; large ones without an exponent."""
-    plain = F.rtrim(value.cast("decimal(38,10)").cast("string"), F.lit("0"))
-    return F.when(F.abs(value) >= 1e7, F.concat(plain, F.when(plain.endswith("."), "0").otherwise(""))).otherwise(
-        value.cast("string")
-    )
+def number_text(value: str) -> str:
+    """SQL of a double as text; large ones without an exponent."""
+    plain = f"regexp_replace(CAST(CAST({value} AS DECIMAL(38, 10)) AS STRING), r'([.]\d*[1-9]|[.]0)0+$', '$1')"
+    return f"CASE WHEN abs({value}) >= 1e7D THEN {plain} ELSE CAST({value} AS STRING) END"
 
 
 # --- inputs ---------------------------------------------------------------
@@ -105,15 +105,17 @@ def ingest_status(cases: DataFrame, key: str, texts: DataFrame) -> DataFrame:
     )
 
 
-def sheet_input_check(status: Column, path: Column) -> Column:
-    return F.when(status == "fail", check("Sample sheet file", "fail", "Sample sheet not found: ", path)).when(
-        status == "skip", check("Sample sheet", "skip", "No sample sheet provided")
+def sheet_input_check(status: str, path: str) -> str:
+    return (
+        f"CASE {status} WHEN 'fail' THEN {_found('Sample sheet file', 'fail', f'Sample sheet not found: {{{path}}}')}"
+        f" WHEN 'skip' THEN {_found('Sample sheet', 'skip', 'No sample sheet provided')} END"
     )
 
 
-def config_input_check(status: Column, path: Column) -> Column:
-    return F.when(status == "fail", check("Config file", "fail", "Config file not found: ", path)).when(
-        status == "skip", check("Config file", "skip", "No config provided — using defaults")
+def config_input_check(status: str, path: str) -> str:
+    return (
+        f"CASE {status} WHEN 'fail' THEN {_found('Config file', 'fail', f'Config file not found: {{{path}}}')}"
+        f" WHEN 'skip' THEN {_found('Config file', 'skip', 'No config provided — using defaults')} END"
     )
 
 
@@ -121,15 +123,16 @@ def config_input_check(status: Column, path: Column) -> Column:
 
 
 def _structure_array() -> Column:
-    name = "Sample sheet validation"
-    as_checks = F.transform(
-        "issues",
-        lambda i: F.when(i["type"] == "critical", check(name, "fail", i["message"], severity=i["type"])).otherwise(
-            check(name, "warn", i["message"], severity=i["type"])
-        ),
+    name = sql.string("Sample sheet validation")
+    of_issue = (
+        f"CASE WHEN i.type = 'critical' THEN {check(name, 'fail', 'i.message', 'i.type')}"
+        f" ELSE {check(name, 'warn', 'i.message', 'i.type')} END"
+    )
+    passed = check(name, "pass", sql.string("Sample sheet structure is valid"))
+    return F.expr(
+        f"CASE WHEN size(issues) > 0 THEN CAST(transform(issues, i -> {of_issue}) AS {CHECKS_TYPE})"
+        f" ELSE CAST(array({passed}) AS {CHECKS_TYPE}) END"
     )
-    passed = _checks(check(name, "pass", "Sample sheet structure is valid"))
-    return F.when(F.size("issues") > 0, as_checks.cast(CHECKS_TYPE)).otherwise(passed)
 
 
 def structure_checks(validated: DataFrame) -> DataFrame:
@@ -159,7 +162,7 @@ def fastq_checks(validated: DataFrame, manifest: DataFrame) -> DataFrame:
         validated.where(F.col("summary").isNotNull())
         .select("sheet_id", F.inline(computed("rows")))
         .select("sheet_id", F.inline(slots))
-        .where(_filled(F.col("path")) & ~remote)
+        .where((F.col("path") != "") & ~remote)
     )
     looked_up = paths.join(
         manifest_paths(manifest).select("path", F.lit(True).alias("_found")), "path", "left"
@@ -174,12 +177,13 @@ def fastq_checks(validated: DataFrame, manifest: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "path"))).alias("_shown"))
     )
     name = "FASTQ file existence"
-    failed = check(name, "fail", F.col("m"), " of ", F.col("n"), " FASTQ files not found on disk").withField(
-        "details", F.transform("_shown", lambda s: s["path"])
+    result = (
+        f"CASE WHEN m > 0 THEN {_found(name, 'fail', '{m} of {n} FASTQ files not found on disk')}"
+        f" ELSE {_found(name, 'pass', 'All {n} FASTQ files found on disk')} END"
     )
-    passed = check(name, "pass", "All ", F.col("n"), " FASTQ files found on disk")
+    shown = F.transform("_shown", lambda s: s["path"])
     return counts.join(first_missing, "sheet_id", "left").select(
-        "sheet_id", F.when(F.col("m") > 0, failed).otherwise(passed).cast(CHECK_TYPE).alias("fastq_check")
+        "sheet_id", F.expr(f"CAST({result} AS {CHECK_TYPE})").withField("details", shown).alias("fastq_check")
     )
 
 
@@ -220,142 +224,141 @@ def _settings(configs: DataFrame, *extra: Column) -> DataFrame:
 SETTINGS = ("max_memory", "max_cpus", "max_time", "container_engine", "genome", *PATH_SETTINGS, "executor", "profile")
 
 
-def brace_check(text: Column) -> Column:
+def brace_balance(text: Column) -> Column:
+    """Opening minus closing braces."""
+
     def count(brace: str) -> Column:
         return F.length(text) - F.length(F.replace(text, F.lit(brace), F.lit("")))
 
-    balance = count("{") - count("}")
-    direction = F.when(balance > 0, "extra opening").otherwise("extra closing")
-    return F.when(
-        balance != 0,
-        check("Config syntax", "fail", "Mismatched braces in config: ", F.abs(balance), " ", direction, " brace(s)"),
-    )
+    return count("{") - count("}")
+
+
+def brace_check() -> str:
+    direction = "CASE WHEN balance > 0 THEN 'extra opening' ELSE 'extra closing' END"
+    mismatch = _found("Config syntax", "fail", f"Mismatched braces in config: {{abs(balance)}} {{{direction}}} brace(s)")
+    return f"CASE WHEN balance <> 0 THEN {mismatch} END"
 
 
-def memory_check(memory: Column) -> Column:
-    name = "Memory allocation"
-    gb = number_text(memory)
+def memory_check() -> str:
+    name, gb = "Memory allocation", number_text("max_memory")
     return (
-        F.when(
-            F.coalesce(memory, F.lit(0.0)) == 0,
-            check(name, "warn", "max_memory not found in config — pipeline will use defaults"),
-        )
-        .when(
-            memory < 4, check(name, "warn", "max_memory is very low (", gb, " GB). Most NGS tools need at least 8 GB.")
-        )
-        .otherwise(check(name, "pass", "max_memory = ", gb, " GB"))
+        "CASE WHEN coalesce(max_memory, 0) = 0 THEN "
+        + _found(name, "warn", "max_memory not found in config — pipeline will use defaults")
+        + " WHEN max_memory < 4 THEN "
+        + _found(name, "warn", f"max_memory is very low ({{{gb}}} GB). Most NGS tools need at least 8 GB.")
+        + " ELSE "
+        + _found(name, "pass", f"max_memory = {{{gb}}} GB")
+        + " END"
     )
 
 
-def cpu_check(cpus: Column) -> Column:
-    return F.when(cpus != 0, check("CPU allocation", "pass", "max_cpus = ", cpus))
+def cpu_check() -> str:
+    return f"CASE WHEN max_cpus <> 0 THEN {_found('CPU allocation', 'pass', 'max_cpus = {max_cpus}')} END"
 
 
-def engine_check(engine: Column) -> Column:
+def engine_check() -> str:
     name = "Container/Environment engine"
-    return F.when(engine.isNotNull(), check(name, "pass", "Using ", engine)).otherwise(
-        check(
-            name,
-            "warn",
-            "No container engine detected in config (docker/singularity/conda). "
-            "Pipeline may fail if tools aren't installed locally.",
-        )
+    none = (
+        "No container engine detected in config (docker/singularity/conda). "
+        "Pipeline may fail if tools aren't installed locally."
+    )
+    return (
+        f"CASE WHEN container_engine IS NOT NULL THEN {_found(name, 'pass', 'Using {container_engine}')}"
+        f" ELSE {_found(name, 'warn', none)} END"
     )
 
 
 def reference_checks(settings: DataFrame, manifest: DataFrame) -> DataFrame:
     """Existence checks of the configured reference files, one array per config."""
-    wanted = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(setting).isNotNull(),
-                    F.struct(F.lit(i).alias("ord"), F.lit(name).alias("check"), F.col(setting).alias("path"),
-                             F.format_string(missing.replace("{}", "%s"), F.col(setting)).alias("absent")),
-                )
-                for i, (setting, name, missing) in enumerate(_REFERENCES)
-            ]
-        )
+    wanted = ", ".join(
+        f"CASE WHEN {setting} IS NOT NULL THEN "
+        + sql.struct(ord=str(i), name=sql.string(name), path=setting, absent=message(absent.replace("{}", f"{{{setting}}}")))
+        + " END"
+        for i, (setting, name, absent) in enumerate(_REFERENCES)
+    )
+    size = "format_string('%.2f', size_bytes / 1073741824D)"
+    result = (
+        f"CASE WHEN size_bytes IS NULL THEN {check('name', 'fail', 'absent')}"
+        f" WHEN ord = 0 THEN {check('name', 'pass', message(f'Found: {{path}} ({{{size}}} GB)'))}"
+        f" ELSE {check('name', 'pass', message('Found: {path}'))} END"
     )
-    size = F.format_string("%.2f", F.col("size_bytes") / (1024**3))
-    found = F.when(
-        F.col("ord") == 0, check(F.col("check"), "pass", "Found: ", F.col("path"), " (", size, " GB)")
-    ).otherwise(check(F.col("check"), "pass", "Found: ", F.col("path")))
-    result = F.when(F.col("size_bytes").isNull(), check(F.col("check"), "fail", F.col("absent"))).otherwise(found)
     # At most one entry per reference setting is collected for a config.
     return (
-        settings.select("config_id", F.inline(wanted))
+        settings.select("config_id", F.expr(f"inline(array_compact(array({wanted})))"))
         .join(manifest_paths(manifest), "path", "left")
         .groupBy("config_id")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", result.cast(CHECK_TYPE).alias("c")))).alias("_c"))
+        .agg(F.array_sort(F.collect_list(F.struct("ord", F.expr(f"CAST({result} AS {CHECK_TYPE})").alias("c")))).alias("_c"))
         .select("config_id", F.transform("_c", lambda x: x["c"]).alias("reference_checks"))
     )
 
 
-def known_genome(genome: Column, field: str) -> Column:
+def known_genome(field: str, genome: str = "genome") -> Column:
     """A figure of the first known genome whose name the configured one contains."""
     at = {"star_gb": 1, "size_gb": 4, "ordinal": None}[field]
-    name = F.lower(F.coalesce(genome, F.lit("")))
-    return F.coalesce(
-        *[
-            F.when(F.contains(name, F.lit(g[0].lower())), F.lit(float(i if at is None else g[at])))
-            for i, g in enumerate(GENOMES)
-        ]
+    cases = " ".join(
+        f"WHEN contains(lower({genome}), {sql.string(g[0].lower())}) THEN {float(i if at is None else g[at])!r}D"
+        for i, g in enumerate(GENOMES)
     )
+    return F.expr(f"CASE {cases} END")
 
 
 def genome_usage(settings: DataFrame, genomes: DataFrame) -> DataFrame:
     """Known genomes with the number of configs that resolve to each."""
-    used = settings.groupBy(known_genome(F.col("genome"), "ordinal").cast("int").alias("ordinal")).agg(
-        F.count("*").alias("n_configs")
-    )
+    # Never NULL: a join on a nullable key would filter on it, below the regexes it comes from.
+    resolved = F.coalesce(known_genome("ordinal").cast("int"), F.lit(-1))
+    used = settings.groupBy(resolved.alias("ordinal")).agg(F.count("*").alias("n_configs"))
     return genomes.join(used, "ordinal", "left").select(
         F.col("ordinal").cast("bigint").alias("ordinal"), "name", "star_gb", "bwa_gb", "hisat2_gb", "size_gb",
         F.coalesce("n_configs", F.lit(0)).alias("n_configs"),
     )
 
 
-def memory_genome_check(memory: Column, genome: Column) -> Column:
-    need = known_genome(genome, "star_gb")
-    gb, need_text = number_text(memory), need.cast("bigint")
-    name = "Memory for STAR alignment"
-    return F.when(
-        (memory != 0) & need.isNotNull(),
-        F.when(
-            memory < need,
-            check(name, "fail", "STAR index for ", genome, " needs ~", need_text, " GB but max_memory is ", gb,
-                  " GB. Increase to at least ", need_text, " GB or STAR will crash with OOM."),
-        ).otherwise(
-            check(name, "pass", "max_memory (", gb, " GB) is sufficient for STAR on ", genome, " (needs ~", need_text, " GB)")
-        ),
+def memory_genome_check() -> str:
+    """Needs ``star_gb`` of the configured genome beside the settings."""
+    name, gb, need = "Memory for STAR alignment", number_text("max_memory"), "CAST(star_gb AS BIGINT)"
+    low = (
+        f"STAR index for {{genome}} needs ~{{{need}}} GB but max_memory is {{{gb}}} GB. "
+        f"Increase to at least {{{need}}} GB or STAR will crash with OOM."
+    )
+    enough = f"max_memory ({{{gb}}} GB) is sufficient for STAR on {{genome}} (needs ~{{{need}}} GB)"
+    return (
+        "CASE WHEN max_memory <> 0 AND star_gb IS NOT NULL THEN CASE WHEN max_memory < star_gb THEN "
+        + _found(name, "fail", low)
+        + " ELSE "
+        + _found(name, "pass", enough)
+        + " END END"
     )
 
 
 # --- hosts ----------------------------------------------------------------
 
 
-def disk_check(free_gb: Column, n_samples: Column, genome: Column, work_dir: Column) -> Column:
-    size = F.coalesce(known_genome(genome, "size_gb"), F.lit(DEFAULT_GENOME_SIZE_GB))
-    need = F.bround(n_samples * DISK_PER_SAMPLE_GB + size * 2, 1)
-    free_text, need_text, name = number_text(free_gb), number_text(need), "Disk space"
-    return (
-        F.when(free_gb.isNull(), check(name, "skip", "Could not check disk space at: ", work_dir))
-        .when(
-            free_gb < need,
-            check(name, "fail", "Estimated ", need_text, " GB needed for ", n_samples, " samples, but only ",
-                  free_text, " GB free at ", work_dir),
-        )
-        .when(
-            free_gb < need * 1.5,
-            check(name, "warn", "Tight on space: ", free_text, " GB free, estimated ", need_text,
-                  " GB needed. Consider cleaning old work directories first."),
-        )
-        .otherwise(check(name, "pass", free_text, " GB free, estimated ", need_text, " GB needed — sufficient"))
+def with_disk_need(frame: DataFrame) -> DataFrame:
+    """Add the estimated need, its sample count and the folder of each case."""
+    sized = frame.withColumns(
+        {
+            "disk_samples": F.coalesce("n_samples", F.lit(0).cast("bigint")),
+            "disk_dir": F.expr("coalesce(nullif(work_dir, ''), nullif(outdir, ''), '.')"),
+            "_size": F.coalesce(known_genome("size_gb"), F.lit(DEFAULT_GENOME_SIZE_GB)),
+        }
     )
+    need = F.bround(F.col("disk_samples") * DISK_PER_SAMPLE_GB + F.col("_size") * 2, 1)
+    return sized.withColumn("disk_need_gb", need).drop("_size")
 
 
-def work_dir(requested: Column, outdir: Column) -> Column:
-    return F.coalesce(F.nullif(requested, F.lit("")), F.nullif(outdir, F.lit("")), F.lit("."))
+def disk_check() -> str:
+    name, free, need = "Disk space", number_text("free_gb"), number_text("disk_need_gb")
+    return (
+        "CASE WHEN free_gb IS NULL THEN "
+        + _found(name, "skip", "Could not check disk space at: {disk_dir}")
+        + " WHEN free_gb < disk_need_gb THEN "
+        + _found(name, "fail", f"Estimated {{{need}}} GB needed for {{disk_samples}} samples, but only {{{free}}} GB free at {{disk_dir}}")
+        + " WHEN free_gb < disk_need_gb * 1.5D THEN "
+        + _found(name, "warn", f"Tight on space: {{{free}}} GB free, estimated {{{need}}} GB needed. Consider cleaning old work directories first.")
+        + " ELSE "
+        + _found(name, "pass", f"{{{free}}} GB free, estimated {{{need}}} GB needed — sufficient")
+        + " END"
+    )
 
 
 def host_tool_sets(host_tools: DataFrame) -> DataFrame:
@@ -364,25 +367,26 @@ def host_tool_sets(host_tools: DataFrame) -> DataFrame:
     return host_tools.where(known).groupBy("host_id").agg(F.collect_set("tool").alias("tools"))
 
 
-def tool_checks(tools: Column, engine: Column) -> Column:
-    available = F.coalesce(tools, F.array().cast("array<string>"))
+def tool_checks() -> list[str]:
+    """Manager, engine (if configured) and Java against the host's ``tools``."""
 
-    def probe(name, tool, passed, failed) -> Column:
-        return F.when(F.array_contains(available, tool), check(name, "pass", *passed)).otherwise(
-            check(name, "fail", *failed)
+    def probe(name: str, tool: str, passed: str, failed: str) -> str:
+        return (
+            f"CASE WHEN coalesce(array_contains(tools, {tool}), false) THEN {check(name, 'pass', message(passed))}"
+            f" ELSE {check(name, 'fail', message(failed))} END"
         )
 
-    return _checks(
-        probe("Nextflow installed", "nextflow", ("Nextflow is available on PATH",),
-              ("Nextflow not found on PATH. Install from https://nextflow.io",)),
-        F.when(
-            engine.isNotNull(),
-            probe(F.concat(F.initcap(engine), F.lit(" available")), engine, (engine, " is available on PATH"),
-                  (engine, " is configured but not found on PATH")),
-        ),
-        probe("Java installed", "java", ("Java is available (required by Nextflow)",),
-              ("Java not found — required by Nextflow",)),
+    engine = probe(
+        "concat(initcap(container_engine), ' available')", "container_engine",
+        "{container_engine} is available on PATH", "{container_engine} is configured but not found on PATH",
     )
+    return [
+        probe("'Nextflow installed'", "'nextflow'", "Nextflow is available on PATH",
+              "Nextflow not found on PATH. Install from https://nextflow.io"),
+        f"CASE WHEN container_engine IS NOT NULL THEN {engine} END",
+        probe("'Java installed'", "'java'", "Java is available (required by Nextflow)",
+              "Java not found — required by Nextflow"),
+    ]
 
 
 # --- reports --------------------------------------------------------------
@@ -413,19 +417,20 @@ def sample_side(sheets: DataFrame) -> DataFrame:
     )
 
 
-def config_side(configs: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+def config_side(configs: DataFrame, manifest: DataFrame) -> DataFrame:
     """Per config: whether it holds text, its settings and its checks."""
     given = configs.withColumn("config_given", F.length("text") > 0)
-    side = _settings(given, F.col("config_given"), brace_check(F.col("text")).alias("_braces")).withColumn(
-        "config_checks",
-        _checks(
-            F.col("_braces"),
-            memory_check(F.col("max_memory")),
-            cpu_check(F.col("max_cpus")),
-            engine_check(F.col("container_engine")),
-        ),
-    ).drop("_braces")
-    return side if manifest is None else side.join(reference_checks(side, manifest), "config_id", "left")
+    side = with_star_gb(_settings(given, F.col("config_given"), brace_balance(F.col("text")).alias("balance"))).withColumns(
+        {
+            "config_checks": check_array(brace_check(), memory_check(), cpu_check(), engine_check()),
+            "genome_checks": check_array(memory_genome_check()),
+        }
+    )
+    return side.drop("balance", "star_gb").join(reference_checks(side, manifest), "config_id", "left")
+
+
+def with_star_gb(settings: DataFrame) -> DataFrame:
+    return settings.withColumn("star_gb", known_genome("star_gb"))
 
 
 def host_side(hosts: DataFrame, host_tools: DataFrame) -> DataFrame:
@@ -438,22 +443,12 @@ def case_frame(cases: DataFrame, sheet: DataFrame | None, config: DataFrame, hos
     return framed.join(config, "config_id", "left").join(host, "host_id", "left")
 
 
-def _status(requested: Column, given: Column) -> Column:
-    return (
-        F.when(requested.isNotNull() & given.isNull(), "fail")
-        .when(F.coalesce(given, F.lit(False)), "read")
-        .otherwise("skip")
-    )
+def _status(requested: str, given: str) -> Column:
+    return F.expr(f"CASE WHEN {requested} IS NOT NULL AND {given} IS NULL THEN 'fail' WHEN {given} THEN 'read' ELSE 'skip' END")
 
 
-def case_disk_check() -> Column:
-    return disk_check(
-        F.col("free_gb"), F.coalesce("n_samples", F.lit(0).cast("bigint")), F.col("genome"), work_dir(F.col("work_dir"), F.col("outdir"))
-    )
-
-
-def case_tool_checks() -> Column:
-    return tool_checks(F.col("tools"), F.col("container_engine"))
+def _no_checks() -> Column:
+    return F.expr(f"CAST(array() AS {CHECKS_TYPE})")
 
 
 def _with_stage(checks: Column, number: int) -> Column:
@@ -466,26 +461,25 @@ def _with_status(status: str) -> Column:
 
 def report(frame: DataFrame) -> DataFrame:
     """One report per case: ``checks`` in stage order, counts and verdict."""
-    sheet_status = _status(F.col("sheet_id"), F.col("sheet_given"))
-    config_status = _status(F.col("config_id"), F.col("config_given"))
-    has_config = config_status == "read"
+    known = with_disk_need(frame).withColumns(
+        {"sheet_status": _status("sheet_id", "sheet_given"), "config_status": _status("config_id", "config_given")}
+    )
+    has_config = F.col("config_status") == "read"
     stages = [
-        F.when(sheet_status == "read", F.col("sheet_checks")).otherwise(
-            _checks(sheet_input_check(sheet_status, F.col("sheet_id").cast("string")))
+        F.when(F.col("sheet_status") == "read", F.col("sheet_checks")).otherwise(
+            check_array(sheet_input_check("sheet_status", "sheet_id"))
         ),
         F.when(has_config, F.col("config_checks")).otherwise(
-            _checks(config_input_check(config_status, F.col("config_id").cast("string")))
-        ),
-        F.coalesce(F.when(has_config, F.col("reference_checks")), no_checks()),
-        F.coalesce(
-            F.when(has_config, _checks(memory_genome_check(F.col("max_memory"), F.col("genome")))), no_checks()
+            check_array(config_input_check("config_status", "config_id"))
         ),
-        _checks(case_disk_check()),
-        case_tool_checks(),
+        F.coalesce(F.when(has_config, F.col("reference_checks")), _no_checks()),
+        F.coalesce(F.when(has_config, F.col("genome_checks")), _no_checks()),
+        check_array(disk_check()),
+        check_array(*tool_checks()),
     ]
     numbered = [_with_stage(checks, number) for number, checks in enumerate(stages, start=1)]
     settings = F.when(has_config, F.struct(*SETTINGS))
-    reported = frame.select("case_id", F.concat(*numbered).alias("checks"), settings.alias("settings"))
+    reported = known.select("case_id", F.concat(*numbered).alias("checks"), settings.alias("settings"))
     counted = reported.withColumns(
         {f"n_{status}": F.size(_with_status(status)).cast("bigint") for status in _SEVERITY}
     ).withColumn("n_total", F.size("checks").cast("bigint"))
@@ -534,7 +528,7 @@ def ordered_checks(reports: DataFrame) -> DataFrame:
 def config_report(settings: DataFrame) -> DataFrame:
     """Memory, CPUs, genome and engine of the configs that set anything."""
     anything = F.coalesce(*[F.col(c).cast("string") for c in SETTINGS]).isNotNull()
-    memory = F.when(F.col("max_memory") != 0, F.concat(number_text(F.col("max_memory")), F.lit(" GB")))
+    memory = F.when(F.col("max_memory") != 0, F.concat(F.expr(number_text("max_memory")), F.lit(" GB")))
     return settings.where(anything).select(
         "config_id",
         memory.alias("memory"),

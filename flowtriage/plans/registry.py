@@ -87,14 +87,14 @@ def log_ingest(spark, sf):
 @query
 def sheet_ingest(spark, sf):
     read = preflight.ingest_status(corpus(spark, sf, "cases"), "sheet_id", corpus(spark, sf, "sheets"))
-    found = preflight.sheet_input_check(F.col("status"), F.col("sheet_id"))
+    found = F.expr(preflight.sheet_input_check("status", "sheet_id"))
     return read.select("case_id", "status", found["check"].alias("check"), found["message"].alias("message"))
 
 
 @query
 def config_ingest(spark, sf):
     read = preflight.ingest_status(corpus(spark, sf, "cases"), "config_id", corpus(spark, sf, "configs"))
-    found = preflight.config_input_check(F.col("status"), F.col("config_id"))
+    found = F.expr(preflight.config_input_check("status", "config_id"))
     return read.select("case_id", "status", found["check"].alias("check"), found["message"].alias("message"))
 
 
@@ -535,15 +535,17 @@ def _settings(spark, sf):
     return preflight.config_settings(_configs(spark, sf))
 
 
-def _config_check(df: DataFrame, check: Column) -> DataFrame:
-    return df.select("config_id", F.inline(F.array_compact(F.array(check)))).select(
+def _config_check(df: DataFrame, check: str) -> DataFrame:
+    return df.select("config_id", F.inline(preflight.check_array(check))).select(
         "config_id", "check", "status", "severity", "message"
     )
 
 
 @query
 def pf_braces(spark, sf):
-    return _config_check(_configs(spark, sf), preflight.brace_check(F.col("text")))
+    return _config_check(
+        _configs(spark, sf).select("config_id", preflight.brace_balance(F.col("text")).alias("balance")), preflight.brace_check()
+    )
 
 
 @query
@@ -558,17 +560,17 @@ def pf_container_engine(spark, sf):
 
 @query
 def pf_memory_alloc(spark, sf):
-    return _config_check(_settings(spark, sf), preflight.memory_check(F.col("max_memory")))
+    return _config_check(_settings(spark, sf), preflight.memory_check())
 
 
 @query
 def pf_cpu_alloc(spark, sf):
-    return _config_check(_settings(spark, sf), preflight.cpu_check(F.col("max_cpus")))
+    return _config_check(_settings(spark, sf), preflight.cpu_check())
 
 
 @query
 def pf_engine_check(spark, sf):
-    return _config_check(_settings(spark, sf), preflight.engine_check(F.col("container_engine")))
+    return _config_check(_settings(spark, sf), preflight.engine_check())
 
 
 @query
@@ -581,9 +583,7 @@ def pf_references(spark, sf):
 
 @query
 def pf_memory_genome(spark, sf):
-    return _config_check(
-        _settings(spark, sf), preflight.memory_genome_check(F.col("max_memory"), F.col("genome"))
-    )
+    return _config_check(preflight.with_star_gb(_settings(spark, sf)), preflight.memory_genome_check())
 
 
 def _case_checks(frame: DataFrame, checks: Column) -> DataFrame:
@@ -596,14 +596,14 @@ def pf_disk(spark, sf):
         corpus(spark, sf, "cases"), preflight.sample_side(corpus(spark, sf, "sheets")), _settings(spark, sf),
         corpus(spark, sf, "hosts"),
     )
-    return _case_checks(frame, F.array(preflight.case_disk_check()))
+    return _case_checks(preflight.with_disk_need(frame), preflight.check_array(preflight.disk_check()))
 
 
 @query
 def pf_tools(spark, sf):
     host = preflight.host_side(corpus(spark, sf, "hosts"), corpus(spark, sf, "host_tools"))
     frame = preflight.case_frame(corpus(spark, sf, "cases"), None, _settings(spark, sf), host)
-    return _case_checks(frame, preflight.case_tool_checks())
+    return _case_checks(frame, preflight.check_array(*preflight.tool_checks()))
 
 
 def _reports(spark, sf):

@@ -64,7 +64,7 @@ _SHEET_ROW = """CASE WHEN c_custkey % 9 < k THEN '' ELSE concat(
    WHEN c_custkey % 31 = 0 THEN <sample>
    ELSE concat(<sample>, ',', <fq1>, ',', <fq2>, ',', <strand>) END, chr(10)) END"""
 _SHEET_CELLS = {
-    "<sample>": "CASE WHEN <n> % 11 = 0 THEN '' ELSE concat('S', cast(<n> * 7 % 12 as string)) END",
+    "<sample>": "CASE WHEN <n> % 11 = 0 THEN '' ELSE concat('S', cast(<n> * 7 % 5 as string)) END",
     "<fq1>": """CASE WHEN <n> % 13 = 0 THEN '' WHEN <n> % 7 = 0 THEN concat('/d/', cast(<n> as string), '_R1.bam')
   WHEN <n> % 9 = 0 THEN concat('s3://b/', cast(<n> as string), '_R1.fastq.gz') ELSE concat('/d/', cast(<n> as string), '_R1.fastq.gz') END""",
     "<fq2>": """CASE WHEN <n> % 3 = 0 THEN '' WHEN <n> % 10 = 1 THEN concat('/d/x', cast(<n> as string), '_R2.fq.gz')
