@@ -159,8 +159,7 @@ def fastq_checks(validated: DataFrame, manifest: DataFrame) -> DataFrame:
     )
     remote = reduce(lambda a, b: a | b, [F.col("path").startswith(s) for s in REMOTE_SCHEMES])
     paths = (
-        validated.where(F.col("summary").isNotNull())
-        .select("sheet_id", F.inline(computed("rows")))
+        sheet_ops.sheet_rows(validated)
         .select("sheet_id", F.inline(slots))
         .where((F.col("path") != "") & ~remote)
     )

@@ -45,12 +45,13 @@ def parse(sheets: DataFrame) -> DataFrame:
         (F.size("_lines") < 2).alias("is_empty"),
         header.alias("header"),
         F.transform(data, lambda x: F.split(x, ",", -1)).alias("_cells"),
+    ).select(
+        "*", *[F.array_position("header", c).cast("int").alias(f"_at_{c}") for c in REQUIRED_COLUMNS]
     )
 
     def cell(cells: Column, name: str) -> Column:
-        at = F.array_position("header", name)
-        value = F.coalesce(rx.strip(F.get(cells, (at - 1).cast("int"))), F.lit(""))
-        return F.when(at > 0, value)
+        at = F.col(f"_at_{name}")
+        return F.when(at > 0, F.coalesce(rx.strip(F.get(cells, at - 1)), F.lit("")))
 
     rows = F.transform(
         "_cells",
@@ -62,7 +63,8 @@ def parse(sheets: DataFrame) -> DataFrame:
 
 
 def sheet_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.where(~F.col("is_empty")).select("sheet_id", F.inline(computed("rows")))
+    """One row per data row; an empty sheet has none."""
+    return parsed.select("sheet_id", F.inline(F.when(~F.col("is_empty"), F.col("rows"))))
 
 
 def _present(value: Column) -> Column:
@@ -188,7 +190,7 @@ def validate(sheets: DataFrame) -> DataFrame:
         )
     )
     return with_duplicates(parse(sheets)).select(
-        "sheet_id", "given", issues.alias("issues"), summary_struct().alias("summary"), "rows", "duplicates"
+        "sheet_id", "given", "is_empty", issues.alias("issues"), summary_struct().alias("summary"), "rows", "duplicates"
     )
 
 

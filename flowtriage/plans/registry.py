@@ -494,8 +494,8 @@ def sheet_strandedness(spark, sf):
 
 @query
 def sheet_duplicates(spark, sf):
-    return sheets.with_duplicates(sheets.parse(corpus(spark, sf, "sheets"))).where(~F.col("is_empty")).select(
-        "sheet_id", F.inline(computed("duplicates"))
+    return sheets.with_duplicates(sheets.parse(corpus(spark, sf, "sheets"))).select(
+        "sheet_id", F.inline(F.when(~F.col("is_empty"), F.col("duplicates")))
     )
 
 
