@@ -50,7 +50,7 @@ def hits(column: str, pattern: str) -> str:
     for a plain string with skips, while ``a.*b`` patterns backtrack, and most
     texts hold none of the strings.
     """
-    full = f"{column} RLIKE {sql.regex(_folded_regex(pattern))}"
+    full = f"{column} RLIKE {sql.regex(folded_regex(pattern))}"
     literals = _required_literals(pattern)
     if not literals:
         return f"({full})"
@@ -64,11 +64,6 @@ def hits_any(column: str, patterns) -> str:
     return "(" + " OR ".join(hits(column, p) for p in patterns) + ")"
 
 
-def any_of(patterns) -> str:
-    """One regex for folded text matching any of the patterns."""
-    return _folded_regex("|".join(f"(?:{p})" for p in patterns))
-
-
 def first(col: Column, pattern: str, ignore_case: bool = True) -> Column:
     """Group 1 of the first match, NULL without a match.
 
@@ -79,6 +74,11 @@ def first(col: Column, pattern: str, ignore_case: bool = True) -> Column:
     return F.nullif(F.regexp_extract(col, flags + pattern, 1), F.lit(""))
 
 
+def first_folded(folded: Column, pattern: str) -> Column:
+    """Like :func:`first`, on folded text; the result is folded, too."""
+    return F.nullif(F.regexp_extract(folded, folded_regex(pattern), 1), F.lit(""))
+
+
 def as_long(col: Column) -> Column:
     return col.try_cast("bigint")
 
@@ -102,7 +102,8 @@ def _required_literals(pattern: str) -> list[str]:
     return literals
 
 
-def _folded_regex(pattern: str) -> str:
+def folded_regex(pattern: str) -> str:
+    """The pattern for folded text: case-sensitive, which Java matches faster."""
     if not pattern.isascii() or re.search(r"\\[pPxu]", pattern):
         return IGNORE_CASE + pattern
     flags = KEEP_CASE if re.search(r"\\[swdb]", pattern, re.I) else PLAIN

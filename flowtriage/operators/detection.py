@@ -28,12 +28,11 @@ def match_count(category: Category, folded: str = "_folded") -> str:
     return " + ".join(f"CAST({rx.hits(folded, p)} AS INT)" for p in category.regexes)
 
 
-def with_counts(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFrame:
+def with_counts(runs: DataFrame, catalog: list[Category] = CATEGORIES, keep_folded: bool = False) -> DataFrame:
     """Add ``counts``: one struct field per category with its match count."""
     counts = sql.struct(**{c.id: match_count(c) for c in catalog})
-    return (
-        runs.withColumn("_folded", rx.fold(F.col("text"))).withColumn("counts", F.expr(counts)).drop("_folded")
-    )
+    counted = runs.withColumn("_folded", rx.fold(F.col("text"))).withColumn("counts", F.expr(counts))
+    return counted if keep_folded else counted.drop("_folded")
 
 
 def _detected_array(catalog: list[Category]) -> Column:
@@ -90,20 +89,24 @@ def matched_lines(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> Data
 
     ``matched`` may be empty when a hit spans a line break.  A line on which
     any regex of the category hits is one on which a matched regex hits, so
-    one alternation per category suffices, and only detected categories
+    all regexes of a category may be tested, and only detected categories
     look at the lines.
     """
-    numbered = F.transform(
-        F.split(F.col("text"), LINE_BREAK, -1),
-        lambda line, i: F.struct((i + 1).cast("bigint").alias("line_num"), line.alias("line")),
+    # Folding keeps line breaks, so both arrays have the same lines.
+    with_lines = with_counts(runs, catalog, keep_folded=True).withColumns(
+        {
+            "_lines": F.split("text", LINE_BREAK, -1),
+            "_numbered": F.transform(
+                F.split("_folded", LINE_BREAK, -1), lambda line, i: F.struct(i.alias("at"), line.alias("line"))
+            ),
+        }
     )
-    with_lines = with_counts(runs, catalog).withColumn("_lines", numbered)
     found = F.array_compact(
         F.array(
             *[
                 F.when(
                     F.col("counts")[c.id] > 0,
-                    F.struct(F.lit(c.id).alias("id"), _lines_hit(F.col("_lines"), c).alias("matched")),
+                    F.struct(F.lit(c.id).alias("id"), _lines_hit(c).alias("matched")),
                 )
                 for c in catalog
             ]
@@ -112,16 +115,23 @@ def matched_lines(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> Data
     return with_lines.select("run_id", F.inline(found))
 
 
-def _lines_hit(numbered: Column, category: Category) -> Column:
-    hit = F.filter(numbered, lambda x: rx.fold(x["line"]).rlike(rx.any_of(category.regexes)))
-    return F.transform(hit, lambda x: F.struct(x["line_num"].alias("line_num"), rx.strip(x["line"]).alias("text")))
+def _lines_hit(category: Category) -> Column:
+    hit = F.expr(f"filter(_numbered, x -> {rx.hits_any('x.line', category.regexes)})")
+    return F.transform(
+        hit,
+        lambda x: F.struct(
+            (x["at"] + 1).cast("bigint").alias("line_num"), rx.strip(F.get("_lines", x["at"])).alias("text")
+        ),
+    )
 
 
 def category_lines(runs: DataFrame, category_id: str, catalog: list[Category] = CATEGORIES) -> DataFrame:
     """Lines hit by any regex of one category; an unknown id gives no rows."""
     chosen = [p for c in catalog if c.id == category_id for p in c.regexes]
+    if not chosen:
+        return lines(runs).where(F.lit(False))
     raw = runs.select("run_id", F.posexplode(F.split("text", LINE_BREAK, -1)).alias("pos", "line"))
-    hit = rx.fold(F.col("line")).rlike(rx.any_of(chosen)) if chosen else F.lit(False)
-    return raw.where(hit).select(
+    hit = raw.withColumn("_folded", rx.fold(F.col("line"))).where(F.expr(rx.hits_any("_folded", chosen)))
+    return hit.select(
         "run_id", (F.col("pos") + 1).cast("bigint").alias("line_num"), rx.strip(F.col("line")).alias("text")
     )

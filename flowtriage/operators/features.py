@@ -23,19 +23,21 @@ from flowtriage.operators import detection
 from flowtriage.operators.processes import process_counts
 
 
-def exit_code(text: Column) -> Column:
+def exit_code(folded: Column) -> Column:
     """0 when absent or "-", -1 when not an integer."""
-    token = rx.first(text, EXIT_CODE_REGEX)
+    token = rx.first_folded(folded, EXIT_CODE_REGEX)
     return F.when(token.isNull() | (token == "-"), F.lit(0)).otherwise(F.coalesce(rx.as_long(token), F.lit(-1)))
 
 
-def _gigabytes(text: Column, pattern: str) -> Column:
-    return F.coalesce(rx.as_double(rx.first(text, pattern)), F.lit(0.0))
+def _gigabytes(folded: Column, pattern: str) -> Column:
+    return F.coalesce(rx.as_double(rx.first_folded(folded, pattern)), F.lit(0.0))
 
 
-def _lines_with(folded: Column, pattern: str) -> Column:
-    """Number of lines holding a match: each hit is anchored to its line start."""
-    return F.regexp_count(folded, F.lit(f"(?md)^.*?(?:{pattern})")).cast("bigint")
+def _lines_with(pattern: str) -> Column:
+    """Number of lines holding a match of one of the words."""
+    words = pattern.split("|")
+    count = f"size(filter(split(_folded, '\\n', -1), line -> {rx.hits_any('line', words)}))"
+    return F.expr(f"CASE WHEN {rx.hits_any('_folded', words)} THEN CAST({count} AS BIGINT) ELSE 0L END")
 
 
 def _marker(name: str) -> Column:
@@ -48,20 +50,21 @@ def _marker(name: str) -> Column:
 
 def features(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFrame:
     """``run_id`` plus the ordered feature columns."""
+    # Only digits are read from these matches, so the folded text serves them all.
     text, folded = F.col("text"), F.col("_folded")
-    n_processes, n_completed = process_counts(text, PROCESS_FEATURE_REGEX, progress_group=2)
+    n_processes, n_completed = process_counts(folded, rx.folded_regex(PROCESS_FEATURE_REGEX), progress_group=2)
     first_pass = (
         runs.withColumn("_folded", rx.fold(text))
         .select(
             "run_id",
-            exit_code(text).alias("exit_code"),
-            _gigabytes(text, MEMORY_REQUESTED_REGEX).alias("memory_requested_gb"),
-            _gigabytes(text, MEMORY_AVAILABLE_REGEX).alias("memory_available_gb"),
+            exit_code(folded).alias("exit_code"),
+            _gigabytes(folded, MEMORY_REQUESTED_REGEX).alias("memory_requested_gb"),
+            _gigabytes(folded, MEMORY_AVAILABLE_REGEX).alias("memory_available_gb"),
             n_processes.alias("n_processes"),
             n_completed.alias("n_completed"),
             (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"),
-            _lines_with(folded, ERROR_LINE_REGEX).alias("n_error_lines"),
-            _lines_with(folded, WARNING_LINE_REGEX).alias("n_warning_lines"),
+            _lines_with(ERROR_LINE_REGEX).alias("n_error_lines"),
+            _lines_with(WARNING_LINE_REGEX).alias("n_warning_lines"),
             *[_marker(name).alias(name) for name in MARKER_REGEXES],
             *[F.expr(f"CAST({detection.match_count(c)} AS BIGINT)").alias(f"regex_{c.id}") for c in catalog],
         )

@@ -135,8 +135,7 @@ class TriageClassifier:
         """
         spark = runs.sparkSession
         checkpoint_dir(spark)
-        vocab = text.vocabulary(runs, self.max_features, "run_id")
-        self.weights = text.with_idf(vocab, runs).orderBy("idx").checkpoint()
+        self.weights = text.fit_weights(runs, self.max_features, "run_id").orderBy("idx").checkpoint()
         self.terms = [r.term for r in self.weights.collect()]  # at most max_features rows
         indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(runs)
         self.labels = list(indexer.labels)

@@ -43,16 +43,17 @@ def processes(runs: DataFrame) -> DataFrame:
     )
 
 
-def process_counts(text: Column, pattern: str = PROCESS_REGEX, progress_group: int = 3) -> tuple[Column, Column]:
+def process_counts(text: Column, regex: str = _PROCESS, progress_group: int = 3) -> tuple[Column, Column]:
     """Number of progress hits and of finished ones."""
-    progress = F.regexp_extract_all(text, F.lit(rx.IGNORE_CASE + pattern), F.lit(progress_group))
+    progress = F.regexp_extract_all(text, F.lit(regex), F.lit(progress_group))
     done = F.filter(progress, lambda p: rx.strip(p) == _DONE)
     return F.size(progress).cast("bigint"), F.size(done).cast("bigint")
 
 
 def process_rollup(runs: DataFrame) -> DataFrame:
     """Totals per run; ``failed_processes`` counts the unfinished ones."""
-    total, done = process_counts(F.col("text"))
+    # Only digits are read, so folded text and a case-sensitive regex give the same counts.
+    total, done = process_counts(rx.fold(F.col("text")), rx.folded_regex(PROCESS_REGEX))
     return runs.select("run_id", total.alias("total_processes"), done.alias("completed_processes")).withColumn(
         "failed_processes", F.col("total_processes") - F.col("completed_processes")
     )

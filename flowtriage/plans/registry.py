@@ -305,8 +305,7 @@ def vocabulary(spark, sf):
 @query
 def tfidf(spark, sf):
     docs = _docs(spark, sf)
-    weights = text.with_idf(text.vocabulary(docs), docs)
-    return text.tfidf(docs, weights).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return text.tfidf(docs, text.fit_weights(docs)).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query
@@ -328,7 +327,7 @@ def trained(spark: SparkSession, sf: str) -> TriageClassifier:
 @query
 def hybrid_features(spark, sf):
     runs = _runs(spark, sf)
-    weights = text.with_idf(text.vocabulary(runs, QUICK_MODEL["max_features"], "run_id"), runs)
+    weights = text.fit_weights(runs, QUICK_MODEL["max_features"], "run_id")
     matrix = model.hybrid_features(runs, weights, QUICK_MODEL["max_features"])
     total = F.aggregate("pairs", F.lit(0.0), lambda a, p: a + p["value"])
     return matrix.select("run_id", F.size("pairs").cast("bigint").alias("n_values"), F.round(total, 4).alias("total"))
