@@ -92,15 +92,7 @@ def matched_lines(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> Data
     all regexes of a category may be tested, and only detected categories
     look at the lines.
     """
-    # Folding keeps line breaks, so both arrays have the same lines.
-    with_lines = with_counts(runs, catalog, keep_folded=True).withColumns(
-        {
-            "_lines": F.split("text", LINE_BREAK, -1),
-            "_numbered": F.transform(
-                F.split("_folded", LINE_BREAK, -1), lambda line, i: F.struct(i.alias("at"), line.alias("line"))
-            ),
-        }
-    )
+    with_lines = _with_lines(with_counts(runs, catalog, keep_folded=True))
     found = F.array_compact(
         F.array(
             *[
@@ -115,6 +107,18 @@ def matched_lines(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> Data
     return with_lines.select("run_id", F.inline(found))
 
 
+def _with_lines(folded: DataFrame) -> DataFrame:
+    """Add the lines of the text and of the folded text; folding keeps line breaks."""
+    return folded.withColumns(
+        {
+            "_lines": F.split("text", LINE_BREAK, -1),
+            "_numbered": F.transform(
+                F.split("_folded", LINE_BREAK, -1), lambda line, i: F.struct(i.alias("at"), line.alias("line"))
+            ),
+        }
+    )
+
+
 def _lines_hit(category: Category) -> Column:
     hit = F.expr(f"filter(_numbered, x -> {rx.hits_any('x.line', category.regexes)})")
     return F.transform(
@@ -127,11 +131,9 @@ def _lines_hit(category: Category) -> Column:
 
 def category_lines(runs: DataFrame, category_id: str, catalog: list[Category] = CATEGORIES) -> DataFrame:
     """Lines hit by any regex of one category; an unknown id gives no rows."""
-    chosen = [p for c in catalog if c.id == category_id for p in c.regexes]
+    chosen = [c for c in catalog if c.id == category_id]
     if not chosen:
         return lines(runs).where(F.lit(False))
-    raw = runs.select("run_id", F.posexplode(F.split("text", LINE_BREAK, -1)).alias("pos", "line"))
-    hit = raw.withColumn("_folded", rx.fold(F.col("line"))).where(F.expr(rx.hits_any("_folded", chosen)))
-    return hit.select(
-        "run_id", (F.col("pos") + 1).cast("bigint").alias("line_num"), rx.strip(F.col("line")).alias("text")
-    )
+    split = _with_lines(runs.withColumn("_folded", rx.fold(F.col("text"))))
+    in_text = F.expr(rx.hits_any("_folded", chosen[0].regexes))
+    return split.select("run_id", F.inline(F.when(in_text, _lines_hit(chosen[0]))))

@@ -77,7 +77,7 @@ def check_array(*checks: str) -> Column:
 
 def number_text(value: str) -> str:
     """SQL of a double as text; large ones without an exponent."""
-    plain = f"regexp_replace(CAST(CAST({value} AS DECIMAL(38, 10)) AS STRING), r'([.]\d*[1-9]|[.]0)0+$', '$1')"
+    plain = rf"regexp_replace(CAST(CAST({value} AS DECIMAL(38, 10)) AS STRING), r'([.]\d*[1-9]|[.]0)0+$', '$1')"
     return f"CASE WHEN abs({value}) >= 1e7D THEN {plain} ELSE CAST({value} AS STRING) END"
 
 
