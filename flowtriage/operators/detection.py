@@ -108,25 +108,20 @@ def matched_lines(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> Data
 
 
 def _with_lines(folded: DataFrame) -> DataFrame:
-    """Add the lines of the text and of the folded text; folding keeps line breaks."""
-    return folded.withColumns(
-        {
-            "_lines": F.split("text", LINE_BREAK, -1),
-            "_numbered": F.transform(
-                F.split("_folded", LINE_BREAK, -1), lambda line, i: F.struct(i.alias("at"), line.alias("line"))
-            ),
-        }
+    """Add numbered lines, as they are and folded; folding keeps line breaks."""
+    both = F.arrays_zip(
+        F.split("text", LINE_BREAK, -1).alias("line"), F.split("_folded", LINE_BREAK, -1).alias("folded")
     )
+    numbered = F.transform(
+        both,
+        lambda x, i: F.struct((i + 1).cast("bigint").alias("line_num"), x["line"].alias("line"), x["folded"].alias("folded")),
+    )
+    return folded.withColumn("_lines", numbered)
 
 
 def _lines_hit(category: Category) -> Column:
-    hit = F.expr(f"filter(_numbered, x -> {rx.hits_any('x.line', category.regexes)})")
-    return F.transform(
-        hit,
-        lambda x: F.struct(
-            (x["at"] + 1).cast("bigint").alias("line_num"), rx.strip(F.get("_lines", x["at"])).alias("text")
-        ),
-    )
+    hit = F.expr(f"filter(_lines, x -> {rx.hits_any('x.folded', category.regexes)})")
+    return F.transform(hit, lambda x: F.struct(x["line_num"].alias("line_num"), rx.strip(x["line"]).alias("text")))
 
 
 def category_lines(runs: DataFrame, category_id: str, catalog: list[Category] = CATEGORIES) -> DataFrame:

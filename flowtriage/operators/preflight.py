@@ -3,8 +3,8 @@
 Facts about files and hosts come from inventory tables.  Checks of one sheet,
 config or case stay in arrays of its row, so the shuffles are the look-ups
 themselves: paths in the manifest, and cases with their sheet, config and host.
-Those joins carry no text; a key that many cases share is split by the
-adaptive skew join, since each look-up side has one row per key.
+Those joins carry no text, and a path, sheet, config or host that many rows
+share is split (:func:`flowtriage.functions.joins.lookup`).
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ from flowtriage.functions.catalog import (
     PATH_SETTINGS,
     REMOTE_SCHEMES,
 )
+from flowtriage.functions.joins import lookup
 from flowtriage.operators import sheets as sheet_ops
+from flowtriage.session import checkpoint_dir
 
 CHECK_TYPE = "struct<check: string, status: string, severity: string, message: string, details: array<string>>"
 CHECKS_TYPE = f"array<{CHECK_TYPE}>"
@@ -92,8 +94,7 @@ def ingest_status(cases: DataFrame, key: str, texts: DataFrame) -> DataFrame:
     known = texts.select(key, F.lit(True).alias("_found"), (F.length("text") > 0).alias("_filled"))
     requested = F.col(key).isNotNull()
     return (
-        cases.select("case_id", key)
-        .join(known, key, "left")
+        lookup(cases.select("case_id", key), known, key, ["case_id"])
         .select(
             "case_id",
             key,
@@ -140,6 +141,12 @@ def structure_checks(validated: DataFrame) -> DataFrame:
     return validated.select("sheet_id", _structure_array().alias("checks"))
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """Slim rows read several times, checkpointed so that their texts are parsed once."""
+    checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def manifest_paths(manifest: DataFrame) -> DataFrame:
     """One row per known path."""
     return manifest.groupBy("path").agg(F.max("size_bytes").alias("size_bytes"))
@@ -158,14 +165,15 @@ def fastq_checks(validated: DataFrame, manifest: DataFrame) -> DataFrame:
         ]
     )
     remote = reduce(lambda a, b: a | b, [F.col("path").startswith(s) for s in REMOTE_SCHEMES])
-    paths = (
+    paths = _written(
         sheet_ops.sheet_rows(validated)
         .select("sheet_id", F.inline(slots))
         .where((F.col("path") != "") & ~remote)
     )
-    looked_up = paths.join(
-        manifest_paths(manifest).select("path", F.lit(True).alias("_found")), "path", "left"
-    ).select("sheet_id", "row_num", "slot", "path", F.col("_found").isNull().alias("missing"))
+    known = manifest_paths(manifest).select("path", F.lit(True).alias("_found"))
+    looked_up = lookup(paths, known, "path", ["sheet_id", "row_num", "slot"]).select(
+        "sheet_id", "row_num", "slot", "path", F.col("_found").isNull().alias("missing")
+    )
     counts = looked_up.groupBy("sheet_id").agg(F.count("*").alias("n"), F.count_if("missing").alias("m"))
     order = Window.partitionBy("sheet_id").orderBy("row_num", "slot")
     first_missing = (
@@ -282,9 +290,9 @@ def reference_checks(settings: DataFrame, manifest: DataFrame) -> DataFrame:
         f" ELSE {check('name', 'pass', message('Found: {path}'))} END"
     )
     # At most one entry per reference setting is collected for a config.
+    paths = _written(settings.select("config_id", F.expr(f"inline(array_compact(array({wanted})))")))
     return (
-        settings.select("config_id", F.expr(f"inline(array_compact(array({wanted})))"))
-        .join(manifest_paths(manifest), "path", "left")
+        lookup(paths, manifest_paths(manifest), "path", ["config_id", "ord"])
         .groupBy("config_id")
         .agg(F.array_sort(F.collect_list(F.struct("ord", F.expr(f"CAST({result} AS {CHECK_TYPE})").alias("c")))).alias("_c"))
         .select("config_id", F.transform("_c", lambda x: x["c"]).alias("reference_checks"))
@@ -438,8 +446,9 @@ def host_side(hosts: DataFrame, host_tools: DataFrame) -> DataFrame:
 
 def case_frame(cases: DataFrame, sheet: DataFrame | None, config: DataFrame, host: DataFrame) -> DataFrame:
     """Cases with what is known about their sheet, config and host."""
-    framed = cases if sheet is None else cases.join(sheet, "sheet_id", "left")
-    return framed.join(config, "config_id", "left").join(host, "host_id", "left")
+    framed = cases if sheet is None else lookup(cases, sheet, "sheet_id", ["case_id"])
+    framed = lookup(framed, config, "config_id", ["case_id"], keys=cases)
+    return lookup(framed, host, "host_id", ["case_id"], keys=cases)
 
 
 def _status(requested: str, given: str) -> Column:
