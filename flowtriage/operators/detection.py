@@ -15,6 +15,9 @@ from flowtriage.functions.catalog import CATEGORIES, DEFAULT_SEVERITY, Category
 
 LINE_BREAK = "\n"
 
+# SQL of the confidence for n matching regexes: 0.7, 0.9, then 0.99.
+CONFIDENCE = "least(0.5D + {n} * 0.2D, 0.99D)"
+
 
 def lines(runs: DataFrame) -> DataFrame:
     """Numbered, stripped lines of every run."""
@@ -44,7 +47,7 @@ def _detected_array(catalog: list[Category]) -> Column:
     found = ", ".join(
         f"CASE WHEN counts.{c.id} > 0 THEN "
         + sql.struct(
-            order=f"-least(0.5D + counts.{c.id} * 0.2D, 0.99D)", ordinal=str(i), match_count=f"CAST(counts.{c.id} AS BIGINT)"
+            order=f"-{CONFIDENCE.format(n=f'counts.{c.id}')}", ordinal=str(i), match_count=f"CAST(counts.{c.id} AS BIGINT)"
         )
         + " END"
         for i, c in enumerate(catalog)
