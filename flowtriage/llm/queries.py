@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtriage.llm import decontaminate, simhash, suffix_dedup
+from flowtriage.llm import decontaminate, pu_classifier, simhash, suffix_dedup
 from flowtriage.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,8 @@ def op1_decontaminate(spark, sf_dir):
 @query
 def op9_substring_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+@query
+def op6_pu_quality(spark, sf_dir):
+    return pu_classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
