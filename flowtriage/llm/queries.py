@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtriage.llm import decontaminate, pu_classifier, simhash, suffix_dedup
+from flowtriage.llm import budget_mix, decontaminate, interleave, pu_classifier, simhash, suffix_dedup
 from flowtriage.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,18 @@ def op9_substring_dedup(spark, sf_dir):
 @query
 def op6_pu_quality(spark, sf_dir):
     return pu_classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_budget_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return budget_mix.mix(docs).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
+
+
+@query
+def op5_interleave(spark, sf_dir):
+    """Law ``rows``: the method cuts one global order into runs of rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return interleave.interleave(docs).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
