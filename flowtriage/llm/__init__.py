@@ -2,3 +2,10 @@
 
 Nothing else in the library imports this subpackage.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel to the executors with their code: those need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -243,7 +244,8 @@ def leak_columns(benchmark: DataFrame, similarity: float = SIMILARITY, target: f
     functions = []
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(Index([tuple(r) for r in part], similarity, target))
+        index = Index([tuple(r) for r in part], similarity, target)
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(index))
 
         functions.append(F.pandas_udf(_lookup(shared), LEAKS))
     return functions
@@ -251,7 +253,7 @@ def leak_columns(benchmark: DataFrame, similarity: float = SIMILARITY, target: f
 
 def _lookup(shared):
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = shared.value
+        index = cloudpickle.loads(shared.value)
         symbols = Remembering(index.symbol)
         for batch in batches:
             yield pd.Series(index.find(list(batch), symbols), dtype=object)

@@ -46,7 +46,9 @@ WIDTH = int(_OFFSETS[-1])
 _OFFSETS = _OFFSETS[:-1]
 
 FIRST_PRIOR = 0.5
+# The ridge is this much, and as much again as so many positives outweigh.
 RIDGE = 1e-3
+RIDGE_ROWS = 4.0
 STEPS = 12
 TOLERANCE = 1e-4
 BINS = 2000
@@ -107,20 +109,29 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _columns(batch: pd.Series) -> np.ndarray:
-    """The columns of the one-hot features that are set, by row."""
+    """The column of every measure's bin, by row."""
     packed = np.frombuffer(b"".join(batch), np.uint8).reshape(len(batch), len(EDGES))
     return packed + _OFFSETS
 
 
+def _steps() -> np.ndarray:
+    """Features of a column: it and all lower bins of its measure, so that weights are steps between bins."""
+    measure = np.searchsorted(_OFFSETS, np.arange(WIDTH), "right")
+    at = np.arange(WIDTH)
+    return ((measure[:, None] == measure) & (at <= at[:, None])).astype(float)
+
+
+_STEPS = _steps()
+
+
 def _dense(columns: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(columns), WIDTH))
+    x = _STEPS[columns].sum(axis=1)
     x[:, 0] = 1
-    x[np.arange(len(columns))[:, None], columns] = 1
     return x
 
 
 def _logits(weights: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    return weights[0] + weights[columns].sum(axis=1)
+    return weights[0] + (_STEPS @ weights)[columns].sum(axis=1)
 
 
 def _sums(weights: np.ndarray):
@@ -160,11 +171,12 @@ def _minimise(rows: DataFrame, prior: float, weights: np.ndarray) -> np.ndarray:
         if not n_p or not n_u:
             return weights
         x_p, s_p, s_u = sums[5 : 5 + 3 * WIDTH].reshape(3, WIDTH)
-        curve = sums[5 + 3 * WIDTH :].reshape(WIDTH, WIDTH) / n_u + RIDGE * np.eye(WIDTH)
+        ridge = RIDGE + RIDGE_ROWS / n_p
+        curve = sums[5 + 3 * WIDTH :].reshape(WIDTH, WIDTH) / n_u + ridge * np.eye(WIDTH)
         negative = against_u / n_u - prior * against_p / n_p
         slope = s_u / n_u - prior * s_p / n_p
         if negative >= 0:
-            slope = slope - prior * (x_p - s_p) / n_p + RIDGE * weights
+            slope = slope - prior * (x_p - s_p) / n_p + ridge * weights
         else:  # the negative class cannot have a risk below zero: undo the overfit first
             slope = -slope
         step = np.linalg.solve(curve, slope)
@@ -246,16 +258,23 @@ def binned(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit_binned(rows: DataFrame) -> Model:
-    """Fit on trusted positives (quality 1) and on every row without a usable label."""
-    kept = rows.where("quality IS NULL OR quality = 1").select("codes", F.col("quality").isNotNull().alias("positive"))
-    first = _minimise(kept, FIRST_PRIOR, np.zeros(WIDTH))
+    """Fit on trusted positives (quality 1) and on every row without a usable label.
+
+    The prior is estimated on the half of the rows that the first fit did not
+    see, so that learning rows by heart cannot make it too small.
+    """
+    kept = rows.where("quality IS NULL OR quality = 1").select(
+        "codes", F.col("quality").isNotNull().alias("positive"), (F.pmod(F.xxhash64("doc_id", "codes"), F.lit(2)) == 0).alias("half")
+    )
+    first = _minimise(kept.where("half"), FIRST_PRIOR, np.zeros(WIDTH))
     if not first.any():
         return Model(None, None)
-    counted = kept.mapInPandas(_histogram(first), "bin int, positive boolean").groupBy("bin", "positive").count()
+    unseen = kept.where("NOT half").select("codes", "positive")
+    counted = unseen.mapInPandas(_histogram(first), "bin int, positive boolean").groupBy("bin", "positive").count()
     by_class = np.zeros((2, BINS))
     for at, positive, count in counted.collect():
         by_class[int(positive), at] = count
-    prior = best_bin_prior(by_class[1], by_class[0])
+    prior = best_bin_prior(by_class[1], by_class[0]) if by_class.any(axis=1).all() else FIRST_PRIOR
     return Model(_minimise(kept, prior, first), prior)
 
 
