@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtriage.llm import budget_mix, decontaminate, interleave, pu_classifier, simhash, suffix_dedup
+from flowtriage.llm import (
+    budget_mix,
+    chat_trees,
+    decontaminate,
+    fuzzy_lines,
+    interleave,
+    oracle,
+    pu_classifier,
+    risk_rules,
+    simhash,
+    suffix_dedup,
+    token_rollup,
+)
 from flowtriage.llm.common import table
+from flowtriage.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.STATEMENTS
+
+# A public byte-pair vocabulary and its splitting pattern; the path is a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def query(fn):
@@ -53,3 +71,41 @@ def op5_interleave(spark, sf_dir):
     return interleave.interleave(docs).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op3_reply_trees(spark, sf_dir):
+    """All conversations, and one whose texts hold the template's own marks."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "\\### Assistant: </turn> ok"
+    extra = [(-7, 0, "user", marks), (-7, 1, "assistant", marks)]
+    both = own.unionByName(spark.createDataFrame(extra, own.schema))
+    return chat_trees.digests(chat_trees.format_trees(chat_trees.chains(both)))
+
+
+@query
+def op4_risk_rules(spark, sf_dir):
+    return risk_rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_token_rollup(spark, sf_dir):
+    """All documents loaded, the load repeated, then take-downs of toxic and clean-ups of poor documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    tokenizers = {"byte_bpe_50k": token_rollup.byte_pair_counter(spark, VOCABULARY, PATTERN), "words": token_rollup.word_count}
+    rollup = token_rollup.TokenRollup(spark, f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}", tokenizers)
+    load = docs.withColumn("op", F.lit("insert"))
+    rollup.apply("load", load)
+    rollup.apply("load", load)
+    judged = docs.join(labels, "doc_id")
+    squeezed = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
+    revised = judged.where("toxic = 0 AND quality = 0").withColumn("text", squeezed).withColumn("op", F.lit("revise"))
+    rollup.apply("take-down", judged.where("toxic = 1").withColumn("op", F.lit("delete")).unionByName(revised))
+    return rollup.totals()
+
+
+@query
+def op7_fuzzy_lines(spark, sf_dir):
+    found = fuzzy_lines.duplicate_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed")
