@@ -90,11 +90,13 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget_percen
     wide = wide.withColumn("_capacity", F.when(F.col("_weight") > 0, F.col("tokens") * max_epochs).otherwise(0))
     tree = [wide]
     for depth in (2, 1):
-        node = tree[0].groupBy(*names[:depth]).agg(F.sum("_capacity").cast("bigint").alias("_capacity"))
+        sums = [F.sum(c).cast("bigint").alias(c) for c in ("_capacity", "tokens")]
+        node = tree[0].groupBy(*names[:depth]).agg(*sums)
         node = node.withColumn("_weight", _weight(LEVELS[depth - 1], weights.get(LEVELS[depth - 1], {})))
         tree.insert(0, node.withColumn("_capacity", F.when(F.col("_weight") > 0, F.col("_capacity")).otherwise(0)))
-    whole = leaves.agg(F.expr(f"(sum(tokens) * {int(budget_percent)}) div 100").alias("_budget"))
-    top = tree[0].crossJoin(F.broadcast(whole)).withColumn("_root", F.lit(0))
+    top = tree[0].withColumn("_root", F.lit(0))
+    whole = F.sum("tokens").over(Window.partitionBy("_root"))
+    top = top.withColumn("_whole", whole).withColumn("_budget", F.expr(f"(_whole * {int(budget_percent)}) div 100"))
     allotted = share(top, ["_root"], names[0])
     for depth in (1, 2):
         parent = allotted.select(*names[:depth], F.col("_allotted").alias("_budget"))

@@ -30,7 +30,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets:
     in [0, 1), so that many small sources do not all stand at the same place.
     All rows, sorted by fraction, are cut into ``shards`` runs whose row
     counts are at most one apart; so every shard holds each source in
-    proportion, up to one row.  Ranks come from bucketed running sums: a
+    proportion, up to a row for each source whose place falls to either side
+    of a cut.  Ranks come from bucketed running sums: a
     source with most rows is spread over ``buckets`` parts.
 
     Keeps all columns and adds size (bytes of the text plus 16), text_crc32,
