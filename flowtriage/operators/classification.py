@@ -19,8 +19,8 @@ def _severity_count(severity: str) -> Column:
     return F.size(F.filter("detected", lambda d: d["severity"] == severity)).cast("bigint")
 
 
-def classify(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFrame:
-    """One verdict row per run, without a shuffle.
+def classify(runs: DataFrame, catalog: list[Category] = CATEGORIES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One verdict row per run, without a shuffle; columns named in ``keep`` come along.
 
     Columns: ``detected`` (all failures, best first), ``primary`` (the first or
     NULL), one count per severity, ``run_health`` and ``triage_summary``.
@@ -28,7 +28,7 @@ def classify(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFrame
     failed_process = processes.metadata_columns(F.col("text"))["failed_process"]
     found = (
         detection.with_detections(runs, catalog)
-        .select("run_id", "detected", failed_process.alias("failed_process"))
+        .select("run_id", *keep, "detected", failed_process.alias("failed_process"))
         .withColumn("primary", F.get("detected", F.lit(0)))
         .withColumns({s: _severity_count(s) for s in SEVERITIES})
     )
@@ -41,6 +41,7 @@ def classify(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFrame
     )
     return found.select(
         "run_id",
+        *keep,
         "detected",
         "primary",
         *SEVERITIES,

@@ -15,10 +15,11 @@ SHORTLIST = 8
 SHORTLIST_THRESHOLD = 0.001
 
 
-def predicted_label(verdicts: DataFrame) -> DataFrame:
-    """Rule-based prediction: the primary failure, or clean."""
+def predicted_label(verdicts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rule-based prediction: the primary failure, or clean; columns named in ``keep`` come along."""
     return verdicts.select(
         "run_id",
+        *keep,
         F.coalesce(F.col("primary.id"), F.lit(CLEAN)).alias("predicted"),
         F.col("primary.confidence").alias("confidence"),
     )
@@ -138,12 +139,15 @@ def balanced_sample(runs: DataFrame, n_per_label: int, include_clean: bool = Tru
     ``position`` is the place in the shuffled result.
     """
     chosen = runs if include_clean else runs.where(F.col("label") != CLEAN)
-    ranked = hash_position(chosen.select("run_id", "label"), "run_id", by=["label"], seed=seed, name="label_position")
-    return hash_position(ranked.where(F.col("label_position") < n_per_label), "run_id", seed=seed)
+    ranked = hash_position(
+        chosen.select("run_id", "label"), "run_id", by=["label"], seed=seed, name="label_position", limit=n_per_label
+    )
+    return hash_position(ranked, "run_id", seed=seed)
 
 
-def smoke_table(expected: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Expected label beside the predicted one."""
-    return expected.select("run_id", F.col("label").alias("expected")).join(predictions, "run_id").select(
-        "run_id", "expected", F.col("predicted").alias("got"), (F.col("expected") == F.col("predicted")).alias("matches"), "confidence"
+def smoke_table(predictions: DataFrame) -> DataFrame:
+    """Expected label (``label``) beside the predicted one."""
+    return predictions.select(
+        "run_id", F.col("label").alias("expected"), F.col("predicted").alias("got"),
+        (F.col("label") == F.col("predicted")).alias("matches"), "confidence",
     )

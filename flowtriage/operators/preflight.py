@@ -78,9 +78,17 @@ def check_array(*checks: str) -> Column:
 
 
 def number_text(value: str) -> str:
-    """SQL of a double as text; large ones without an exponent."""
-    plain = rf"regexp_replace(CAST(CAST({value} AS DECIMAL(38, 10)) AS STRING), r'([.]\d*[1-9]|[.]0)0+$', '$1')"
-    return f"CASE WHEN abs({value}) >= 1e7D THEN {plain} ELSE CAST({value} AS STRING) END"
+    """SQL of a double as text: an exponent of two digits from 1e16 and below 1e-4, none in between."""
+    text = f"CAST({value} AS STRING)"
+    short = f"regexp_replace(regexp_replace({text}, r'[.]0E', 'E'), r'E-(\\d)$', 'E-0$1')"
+    scientific = f"replace(regexp_replace({short}, r'E(\\d)', 'e+$1'), 'E', 'e')"
+    large = rf"regexp_replace(CAST(CAST({value} AS DECIMAL(38, 10)) AS STRING), r'([.]\d*[1-9]|[.]0)0+$', '$1')"
+    small = f"regexp_replace(CAST(CAST({value} AS DECIMAL(38, 24)) AS STRING), r'0+$', '')"
+    size = f"abs({value})"
+    return (
+        f"CASE WHEN {size} >= 1e16D OR {size} > 0 AND {size} < 1e-4D THEN {scientific} WHEN {size} >= 1e7D THEN {large}"
+        f" WHEN {size} > 0 AND {size} < 1e-3D THEN {small} ELSE {text} END"
+    )
 
 
 # --- inputs ---------------------------------------------------------------

@@ -38,7 +38,7 @@ from flowtriage.functions.catalog import (
     feature_names,
 )
 from flowtriage.functions.rx import WHITESPACE
-from flowtriage.operators.text import DEFAULT_VOCABULARY, accent_map
+from flowtriage.operators.text import DEFAULT_VOCABULARY
 from flowtriage.plans.registry import DRILL_DOWN_CATEGORY, FIXED_IMPORTANCES, SAMPLE_PER_LABEL
 from flowtriage.sources.corpus import CORPORA, oracle_cte
 
@@ -190,7 +190,7 @@ BLOCKS: dict[str, str] = {name: oracle_cte(name) for name in CORPORA} | {
     "contributions": """SELECT * FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY importance * abs(value) DESC, idx) AS rank,
  f.feature, importance * abs(value) AS importance, value FROM long_features f JOIN importances i ON f.feature = i.feature
  WHERE importance * abs(value) > 0) WHERE rank <= 10""",
-    "toks": f"""SELECT doc_id, regexp_extract_all(translate(lower(text), {q(accent_map()[0])}, {q(accent_map()[1])}), {q(TOKEN_REGEX)}) AS t FROM documents""",
+    "toks": f"""SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), {q(TOKEN_REGEX)}) AS t FROM documents""",
     "grams": """SELECT doc_id, list_concat(t, list_concat(list_transform(range(1, len(t)), lambda i: concat(t[i], ' ', t[i + 1])),
  list_transform(range(1, len(t) - 1), lambda i: concat(t[i], ' ', t[i + 1], ' ', t[i + 2])))) AS g FROM toks""",
     "tf": "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(g) AS term FROM grams) GROUP BY doc_id, term",
@@ -435,6 +435,10 @@ def _needed(sql: str, found: dict[str, None] | None = None) -> dict[str, None]:
 def statements() -> dict[str, str]:
     result = {}
     for name, select in SELECTS.items():
-        blocks = ",\n".join(f"{b} AS ({BLOCKS[b]})" for b in _needed(select))
+        needed = _needed(select)
+        texts = [select, *(BLOCKS[b] for b in needed)]
+        # A block that several others read is computed once.
+        shared = {b for b in needed if sum(len(re.findall(rf"\b(?:FROM|JOIN)\s+{b}\b", t)) for t in texts) > 1}
+        blocks = ",\n".join(f"{b} AS {'MATERIALIZED ' if b in shared else ''}({BLOCKS[b]})" for b in needed)
         result[name] = f"WITH {blocks}\n{select}" if blocks else select
     return result

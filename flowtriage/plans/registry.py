@@ -356,9 +356,8 @@ def cv_score(spark, sf):
 @query
 def classification_report(spark, sf):
     runs = _runs(spark, sf)
-    predicted = evaluation.predicted_label(classification.classify(runs))
-    pairs = runs.select("run_id", "label").join(predicted, "run_id")
-    return _rounded(evaluation.classification_report(pairs))
+    predicted = evaluation.predicted_label(classification.classify(runs, keep=("label",)), keep=("label",))
+    return _rounded(evaluation.classification_report(predicted))
 
 
 @query
@@ -435,8 +434,8 @@ def balanced_sample(spark, sf):
 @query
 def smoke_compare(spark, sf):
     runs = _runs(spark, sf)
-    predicted = evaluation.predicted_label(classification.classify(runs))
-    return _rounded(evaluation.smoke_table(runs.select("run_id", "label"), predicted))
+    predicted = evaluation.predicted_label(classification.classify(runs, keep=("label",)), keep=("label",))
+    return _rounded(evaluation.smoke_table(predicted))
 
 
 # --- sample sheets --------------------------------------------------------

@@ -95,9 +95,9 @@ SELECT p_partkey AS config_id, concat('params ', chr(123), chr(10),
   CASE WHEN p_partkey % 7 = 0 THEN concat('  max_time = "', cast(p_partkey % 48 as string), '.5 h"', chr(10)) ELSE '' END,
   CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '  genome = ''GRCh38''' WHEN 2 THEN '  genome = "mm10_v2"'
    WHEN 3 THEN '  genome = ''TAIR10''' WHEN 4 THEN '  genome = ''hg19''' ELSE '  genome = ''custom''' END, chr(10),
-  CASE WHEN p_partkey % 3 = 0 THEN concat('  fasta = ''/ref/', cast(p_partkey % 50 as string), '.fa''', chr(10), '  gtf = ''/ref/', cast(p_partkey % 50 as string), '.gtf''', chr(10)) ELSE '' END,
-  CASE WHEN p_partkey % 8 = 1 THEN concat('  STAR_index = /ref/', cast(p_partkey % 50 as string), '.fa', chr(10), '  bwa_index = "/ref/none"', chr(10)) ELSE '' END,
-  CASE WHEN p_partkey % 8 = 2 THEN concat('  hisat2_index = /ref/', cast(p_partkey % 50 as string), '.gtf', chr(10), '  transcript_fasta = ''/ref/t.fa''', chr(10)) ELSE '' END,
+  CASE WHEN p_partkey % 3 = 0 THEN concat('  fasta = ''/ref/', cast(p_partkey as string), '.fa''', chr(10), '  gtf = ''/ref/', cast(p_partkey as string), '.gtf''', chr(10)) ELSE '' END,
+  CASE WHEN p_partkey % 8 = 1 THEN concat('  STAR_index = /ref/', cast(p_partkey as string), '.fa', chr(10), '  bwa_index = "/ref/none"', chr(10)) ELSE '' END,
+  CASE WHEN p_partkey % 8 = 2 THEN concat('  hisat2_index = /ref/', cast(p_partkey as string), '.gtf', chr(10), '  transcript_fasta = ''/ref/t.fa''', chr(10)) ELSE '' END,
   CASE WHEN p_partkey % 11 = 0 THEN concat('  outdir = ''/out/', cast(p_partkey as string), '''', chr(10)) ELSE '' END,
   CASE WHEN p_partkey % 9 = 0 THEN concat('process.executor = ''slurm''', chr(10)) ELSE '' END,
   CASE WHEN p_partkey % 10 = 0 THEN '' WHEN p_partkey % 10 = 9 THEN concat(chr(125), chr(125), chr(10)) ELSE concat(chr(125), chr(10)) END,
@@ -108,15 +108,15 @@ FROM {part}"""
 MANIFEST_SQL = """
 SELECT concat('/d/', cast(o_orderkey as string), '_R1.fastq.gz') AS path, o_orderkey * 1000 AS size_bytes FROM {orders} WHERE o_orderkey % 4 <> 0
 UNION ALL SELECT concat('/d/', cast(o_orderkey as string), '_R2.fastq.gz'), o_orderkey * 1000 FROM {orders} WHERE o_orderkey % 4 <> 0
-UNION ALL SELECT concat('/ref/', cast(p_partkey as string), '.fa'), p_partkey * 45678901 FROM {part} WHERE p_partkey < 40
-UNION ALL SELECT concat('/ref/', cast(p_partkey as string), '.gtf'), p_partkey * 1000 FROM {part} WHERE p_partkey < 30"""
+UNION ALL SELECT concat('/ref/', cast(p_partkey as string), '.fa'), p_partkey * 45678901 FROM {part} WHERE p_partkey % 5 <> 0
+UNION ALL SELECT concat('/ref/', cast(p_partkey as string), '.gtf'), p_partkey * 1000 FROM {part} WHERE p_partkey % 7 <> 0"""
 
-# A case names a sheet, a config and a host by key.  Keys beyond the other
-# tables stay unmatched, like a request for a file that does not exist.
+# A case names a sheet, a config and a host by key.  Negative keys are in no
+# other table, like a request for a file that does not exist.
 CASES_SQL = """
 SELECT c_custkey AS case_id,
- CASE WHEN c_custkey % 12 = 0 THEN NULL WHEN c_custkey % 50 = 1 THEN c_custkey + 1000000000 ELSE c_custkey END AS sheet_id,
- CASE WHEN c_custkey % 8 = 0 THEN NULL WHEN c_custkey % 50 = 3 THEN c_custkey + 1000000000 ELSE c_custkey END AS config_id,
+ CASE WHEN c_custkey % 12 = 0 THEN NULL WHEN c_custkey % 50 = 1 THEN -1 - c_custkey ELSE c_custkey END AS sheet_id,
+ CASE WHEN c_custkey % 8 = 0 THEN NULL WHEN c_custkey % 50 = 3 THEN -1 - c_custkey ELSE c_custkey END AS config_id,
  CAST(c_nationkey AS bigint) AS host_id,
  CASE WHEN c_custkey % 7 = 0 THEN '/scratch' ELSE NULL END AS work_dir
 FROM {customer}"""
@@ -131,7 +131,7 @@ HOST_TOOLS_SQL = " UNION ALL ".join(
 
 # Index rows of files beside the corpus, some of them naming absent files.
 LABEL_INDEX_SQL = """
-SELECT concat('run_', cast(o_orderkey + CASE WHEN o_orderkey % 10 = 0 THEN 1000000000 ELSE 0 END as string), '.log') AS filename,
+SELECT concat('run_', cast(CASE WHEN o_orderkey % 10 = 0 THEN -1 - o_orderkey ELSE o_orderkey END as string), '.log') AS filename,
  CASE WHEN o_orderkey % 2 = 0 THEN 'failed_process' ELSE 'clean' END AS label,
  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('custom/p', cast(o_custkey % 4 as string)) END AS pipeline,
  CASE o_orderstatus WHEN 'F' THEN 'local' ELSE 'docker' END AS executor

@@ -131,6 +131,9 @@ def test_first_known_genome_wins(spark):
 def test_number_text(spark):
     df = spark.createDataFrame([(16.0,), (0.1,), (12345678.5,), (20000000.0,)], "x double")
     assert [r[0] for r in df.select(F.expr(ops.number_text("x"))).collect()] == ["16.0", "0.1", "12345678.5", "20000000.0"]
+    odd = [0.0005, 0.00012345, 5e-05, 1.5e-10, 1e16, 1.25e17, 9999999999999998.0, 0.001, 0.0, -0.0005]
+    df = df.sparkSession.createDataFrame([(x,) for x in odd], "x double")
+    assert [r[0] for r in df.select(F.expr(ops.number_text("x"))).collect()] == [repr(x) for x in odd]
 
 
 def test_config_report_needs_a_setting(spark, configs):

@@ -148,3 +148,16 @@ def test_untrained_model_refuses(runs, tmp_path):
         TriageClassifier().predict(runs("x"))
     with pytest.raises(RuntimeError):
         TriageClassifier().save(str(tmp_path))
+
+
+def test_accents_of_other_scripts(spark):
+    """Marks go and letters stay in scripts the test tables do not hold."""
+    import re
+    import unicodedata
+
+    words = ["Ünïcödé", "がぎパ", "שָׁלוֹם", "Ёлка йод", "ώρα", "ＡＢＣ", "ĳs x̂y", "한국어"]
+    got = spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string")
+    found = {r.doc_id: list(r.tokens) for r in text.tokens(got).collect()}
+    for i, word in enumerate(words[:6]):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+        assert found[i] == re.findall(r"\b\w\w+\b", plain), word
