@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import json
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 from statistics import fmean, pstdev
 
-from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import ArrayType, DoubleType
 
-from flowtriage.functions import sql
+from flowtriage.functions import boosting, sql
 from flowtriage.functions.catalog import CATEGORIES, Category, feature_names
 from flowtriage.functions.ranking import hash_position
 from flowtriage.operators import text
-from flowtriage.operators.evaluation import classification_report
+from flowtriage.operators.evaluation import balanced_sample, classification_report
 from flowtriage.operators.features import feature_pairs, features
 from flowtriage.session import checkpoint_dir
 
@@ -28,28 +29,20 @@ FOLDS = 5
 SEED = 42
 EXPLANATION_METHOD = "feature_importance"
 
-_VECTOR = T.StructType([T.StructField("v", VectorUDT())])
+# Training takes up to so many runs of each label, the size of the documented training set.
+SAMPLE_PER_LABEL = 200
+NODES = ("tree", "node", "feature", "threshold", "left", "right", "value", "gain")
+_NODES = "tree int, node int, feature int, threshold double, left int, right int, value double, gain double"
 
-
-def sparse_vector(pairs: Column, size: int) -> Column:
-    """A sparse ML vector from (idx, value) structs sorted by idx.
-
-    Going through JSON keeps this in the JVM: there is no built-in function
-    from arrays to a sparse vector, and a dense one would be mostly zeros.
-    """
-    parts = F.struct(
-        F.lit(0).alias("type"),
-        F.lit(size).alias("size"),
-        F.transform(pairs, lambda p: p["idx"]).alias("indices"),
-        F.transform(pairs, lambda p: p["value"]).alias("values"),
-    )
-    return F.from_json(F.to_json(F.struct(parts.alias("v"))), _VECTOR)["v"]
+# Functions travel to the executors with their code: those need not have this package.
+for _module in (sys.modules[__name__], boosting):
+    cloudpickle.register_pickle_by_value(_module)
 
 
 def hybrid_features(
     runs: DataFrame, weights: DataFrame, n_terms: int, catalog: list[Category] = CATEGORIES
 ) -> DataFrame:
-    """``pairs`` and ``features`` per run: TF-IDF weights, then structured features.
+    """``pairs`` (idx, value) per run: TF-IDF weights, then structured features, by idx.
 
     A run contributes at most one pair per vocabulary term and feature, so the
     list collected for it is bounded by the vocabulary cap.
@@ -58,13 +51,7 @@ def hybrid_features(
         "run_id", F.struct(F.col("idx").cast("int").alias("idx"), F.col("weight").alias("value")).alias("pair")
     )
     structured = features(runs, catalog).select("run_id", F.explode(feature_pairs(catalog, n_terms)).alias("pair"))
-    size = n_terms + len(feature_names(catalog))
-    return (
-        weighted.unionByName(structured)
-        .groupBy("run_id")
-        .agg(F.array_sort(F.collect_list("pair")).alias("pairs"))
-        .withColumn("features", sparse_vector(F.col("pairs"), size))
-    )
+    return weighted.unionByName(structured).groupBy("run_id").agg(F.array_sort(F.collect_list("pair")).alias("pairs"))
 
 
 def label_index(runs: DataFrame) -> DataFrame:
@@ -94,12 +81,28 @@ def top_contributions(pairs: Column, importances: list[float], names: list[str],
     )
 
 
+def _fit_group(settings: dict):
+    """Fit one class against the rest on the rows of a group."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("run_id")
+        sample = boosting.Sample(rows["indices"].tolist(), rows["values"].tolist())
+        nodes = boosting.fit(sample, (rows["label_idx"] == key[-1]).to_numpy(float), **settings)
+        out = pd.DataFrame(nodes, columns=list(NODES))
+        return out.assign(fold=key[0], target=key[-1])[["fold", "target", *NODES]]
+
+    return run
+
+
 @dataclass
 class TriageClassifier:
     """One-vs-rest boosted trees over hybrid features.
 
-    The defaults are the documented training settings; lower them for quick
-    runs.  ``fit`` on a corpus, then ``predict`` or ``explain`` another one.
+    The defaults are the documented training settings.  ``fit`` takes up to
+    ``per_label`` runs of each label from the corpus (a bounded, seeded
+    sample) and grows the trees of every label in a task of its own; so the
+    model, and what is sent to the executors, is bounded by labels and trees.
+    ``predict`` and ``explain`` take corpora of any size.
     """
 
     max_features: int = text.DEFAULT_VOCABULARY
@@ -108,57 +111,77 @@ class TriageClassifier:
     step_size: float = 0.1
     subsampling_rate: float = 0.8
     seed: int = SEED
-    parallelism: int = 4
-    model: OneVsRestModel | None = None
+    per_label: int = SAMPLE_PER_LABEL
+    nodes: pd.DataFrame | None = None
     weights: DataFrame | None = None
     labels: list[str] | None = None
     terms: list[str] | None = None
 
-    def _estimator(self) -> OneVsRest:
-        trees = GBTClassifier(
-            maxIter=self.max_iter,
-            maxDepth=self.max_depth,
-            stepSize=self.step_size,
-            subsamplingRate=self.subsampling_rate,
-            seed=self.seed,
-        )
-        return OneVsRest(
-            classifier=trees, featuresCol="features", labelCol="label_idx", predictionCol="prediction_idx",
-            parallelism=self.parallelism,
-        )
-
     def prepare(self, runs: DataFrame) -> DataFrame:
-        """Fit vocabulary and labels; return the training matrix.
+        """Draw the sample, fit vocabulary and labels on it; return its matrix.
 
-        Boosting passes over the matrix many times, so it is checkpointed in
-        the shared folder: a lost executor re-reads it instead of the corpus.
+        The sample is at most ``per_label`` rows a label, so it may be
+        broadcast.  It and the matrix are checkpointed in the shared folder: a
+        lost executor re-reads them instead of the corpus.
         """
         spark = runs.sparkSession
         checkpoint_dir(spark)
+        drawn = balanced_sample(runs, self.per_label, seed=self.seed).select("run_id")
+        runs = runs.select("run_id", "text", "label").join(F.broadcast(drawn), "run_id", "left_semi")
+        runs = runs.repartition("run_id").checkpoint()
         self.weights = text.fit_weights(runs, self.max_features, "run_id").orderBy("idx").checkpoint()
         self.terms = [r.term for r in self.weights.collect()]  # at most max_features rows
         indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(runs)
         self.labels = list(indexer.labels)
         labelled = indexer.transform(runs.select("run_id", "label"))
-        return self.matrix(runs).select("run_id", "features").join(labelled, "run_id").checkpoint()
+        return self.matrix(runs).join(labelled, "run_id").checkpoint()
 
     def matrix(self, runs: DataFrame) -> DataFrame:
         self._require(self.weights)
         return hybrid_features(runs, self.weights, len(self.terms))
 
     def fit(self, runs: DataFrame) -> TriageClassifier:
-        return self.fit_matrix(self.prepare(runs))
-
-    def fit_matrix(self, matrix: DataFrame) -> TriageClassifier:
-        self.model = self._estimator().fit(matrix)
+        matrix = self.prepare(runs)
+        self.nodes = self._grown(matrix.withColumn("left_out", F.array(F.lit(-1)))).drop(columns="fold")
         return self
 
+    def _grown(self, matrix: DataFrame) -> pd.DataFrame:
+        """Trees of each class, for every fold that a row's ``left_out`` names it for training in."""
+        settings = {"trees": self.max_iter, "depth": self.max_depth, "step": self.step_size, "share": self.subsampling_rate, "seed": self.seed}
+        classes = F.array(*[F.lit(i) for i in range(len(self.labels))])
+        rows = matrix.select(
+            "run_id",
+            F.col("label_idx").cast("int").alias("label_idx"),
+            F.transform("pairs", lambda p: p["idx"]).alias("indices"),
+            F.transform("pairs", lambda p: p["value"]).alias("values"),
+            F.explode("left_out").alias("fold"),
+        ).withColumn("target", F.explode(classes))
+        return rows.groupBy("fold", "target").applyInPandas(_fit_group(settings), f"fold int, target int, {_NODES}").toPandas()
+
     def classify(self, matrix: DataFrame) -> DataFrame:
         """Add label, confidence and ``ranked`` (label, probability) structs, best first."""
-        self._require(self.model)
+        self._require(self.nodes)
         names = F.array(*[F.lit(x) for x in self.labels])
-        # A boosted margin m stands for a probability of 1 / (1 + exp(-2m)).
-        scores = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        width, classes = len(self.terms) + len(feature_names()), len(self.labels)
+        rows = self.nodes[["target", *NODES]].to_numpy(float)
+        shared = matrix.sparkSession.sparkContext.broadcast(rows)
+
+        @F.pandas_udf(ArrayType(DoubleType()))
+        def margins(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            forest = boosting.Forest(shared.value, classes)
+            for indices, values in batches:
+                out = []
+                for lo in range(0, len(indices), 512):
+                    part = range(lo, min(lo + 512, len(indices)))
+                    dense = np.zeros((len(part), width))
+                    for at, i in enumerate(part):
+                        dense[at, indices.iloc[i]] = values.iloc[i]
+                    out += forest.margins(dense).tolist()
+                yield pd.Series(out, dtype=object)
+
+        indices = F.transform("pairs", lambda p: p["idx"])
+        values = F.transform("pairs", lambda p: p["value"])
+        scores = F.transform(F.col("_margins"), lambda m: 1 / (1 + F.exp(-m)))
         total = F.aggregate("_scores", F.lit(0.0), lambda a, x: a + x)
         ranked = F.array_sort(
             F.transform(
@@ -167,7 +190,7 @@ class TriageClassifier:
             )
         )
         return (
-            self.model.transform(matrix)
+            matrix.withColumn("_margins", margins(indices, values))
             .withColumn("_scores", scores)
             .withColumn("_total", total)
             .withColumn(
@@ -176,11 +199,15 @@ class TriageClassifier:
             )
             .withColumn("predicted", F.get("ranked", F.lit(0))["label"])
             .withColumn("confidence", F.get("ranked", F.lit(0))["probability"])
-            .drop("_scores", "_total", "rawPrediction", "prediction_idx")
+            .drop("_margins", "_scores", "_total")
         )
 
     def predict(self, runs: DataFrame) -> DataFrame:
-        """Label, confidence, the five most probable classes and the top features of each run."""
+        """Label, confidence, the five most probable classes and the top features of each run.
+
+        ``predicted`` and ``ranked`` (all classes, best first) are what the
+        diagnosis and alternatives of the evaluation operators take.
+        """
         top = F.slice("ranked", 1, TOP_CLASSES)
         return self.classify(self.matrix(runs)).select(
             "run_id",
@@ -188,6 +215,8 @@ class TriageClassifier:
             "confidence",
             F.map_from_entries(top).alias("probabilities"),
             top_contributions(F.col("pairs"), self.importances(), self.feature_names()).alias("top_features"),
+            "predicted",
+            "ranked",
         )
 
     def explain(self, runs: DataFrame) -> DataFrame:
@@ -200,25 +229,31 @@ class TriageClassifier:
         return [*self.terms, *feature_names()]
 
     def importances(self) -> list[float]:
-        """Mean importance over the per-class models."""
-        self._require(self.model)
-        per_class = [m.featureImportances.toArray() for m in self.model.models]
-        return [float(x) for x in sum(per_class) / len(per_class)]
+        """Share of the gain of each feature, averaged over the trees of a class and over classes."""
+        self._require(self.nodes)
+        total = np.zeros(len(self.feature_names()))
+        inner = self.nodes[self.nodes["gain"] > 0]
+        for _, trees in inner.groupby("target"):
+            gains = np.bincount(trees["feature"], trees["gain"] / trees.groupby("tree")["gain"].transform("sum"), len(total))
+            total += gains / max(1e-12, gains.sum())
+        return [float(x) for x in total / len(self.labels)]
 
     def save(self, path: str) -> None:
-        self._require(self.model)
-        self.model.write().overwrite().save(f"{path}/model")
-        self.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        """Write trees, weights and labels as tables, whose sizes the settings bound."""
+        self._require(self.nodes)
         spark = self.weights.sparkSession
-        spark.createDataFrame([(json.dumps(self.labels),)], "labels string").write.mode("overwrite").json(f"{path}/labels")
+        schema = f"target int, {_NODES}"
+        spark.createDataFrame(self.nodes[["target", *NODES]], schema).write.mode("overwrite").parquet(f"{path}/trees")
+        self.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        spark.createDataFrame(list(enumerate(self.labels)), "idx int, label string").write.mode("overwrite").parquet(f"{path}/labels")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TriageClassifier:
         weights = spark.read.parquet(f"{path}/weights").orderBy("idx")
         return cls(
-            model=OneVsRestModel.load(f"{path}/model"),
+            nodes=spark.read.parquet(f"{path}/trees").toPandas(),
             weights=weights,
-            labels=json.loads(spark.read.json(f"{path}/labels", schema="labels string").first().labels),
+            labels=[r.label for r in spark.read.parquet(f"{path}/labels").orderBy("idx").collect()],
             terms=[r.term for r in weights.collect()],
         )
 
@@ -237,18 +272,19 @@ def folds(runs: DataFrame, n: int = FOLDS, seed: int = SEED) -> DataFrame:
 def cross_validate(classifier: TriageClassifier, runs: DataFrame, n: int = FOLDS) -> DataFrame:
     """Macro F1 per fold, with mean and population deviation over the folds.
 
-    Vocabulary and labels are fitted on all runs once; each fold trains on the
-    others.  The loop is over folds, each fit is a distributed job.
+    Vocabulary and labels are fitted once on the training sample, whose folds
+    each train on the others.  All trees of all folds grow in one job.
     """
     matrix = classifier.prepare(runs)
-    dealt = matrix.join(folds(runs, n).select("run_id", "fold"), "run_id").checkpoint()
-    spark = runs.sparkSession
+    dealt = matrix.join(folds(matrix, n, classifier.seed).select("run_id", F.col("fold").cast("int").alias("fold")), "run_id").checkpoint()
+    training = F.filter(F.array(*[F.lit(k) for k in range(n)]), lambda k: k != F.col("fold"))
+    grown = classifier._grown(dealt.withColumn("left_out", training).drop("fold"))
     scores = []
     for k in range(n):
-        fitted = classifier.fit_matrix(dealt.where(F.col("fold") != k))
-        predicted = fitted.classify(dealt.where(F.col("fold") == k))
+        classifier.nodes = grown[grown["fold"] == k].drop(columns="fold")
+        predicted = classifier.classify(dealt.where(F.col("fold") == k))
         report = classification_report(predicted.select("label", "predicted"))
         scores.append((k, report.where("class = 'macro avg'").first().f1))
     values = [f1 for _, f1 in scores]
-    table = spark.createDataFrame(scores, "fold bigint, f1_macro double")
+    table = runs.sparkSession.createDataFrame(scores, "fold bigint, f1_macro double")
     return table.withColumns({"mean_f1": F.lit(fmean(values)), "std_f1": F.lit(pstdev(values))})

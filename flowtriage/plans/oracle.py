@@ -197,6 +197,18 @@ BLOCKS: dict[str, str] = {name: oracle_cte(name) for name in CORPORA} | {
     "vocab": f"""SELECT term, n AS count, df, row_number() OVER (ORDER BY term) - 1 AS idx FROM (
  SELECT term, sum(tf)::BIGINT AS n, count(*) AS df FROM tf GROUP BY term ORDER BY n DESC, term LIMIT {DEFAULT_VOCABULARY})""",
     "weights": """SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term)""",
+    **{
+        f"run_{block}": sql
+        for block, sql in (
+            ("toks", f"""SELECT run_id, regexp_extract_all(strip_accents(lower(text)), {q(TOKEN_REGEX)}) AS t FROM runs"""),
+            ("grams", """SELECT run_id, list_concat(t, list_concat(list_transform(range(1, len(t)), lambda i: concat(t[i], ' ', t[i + 1])),
+ list_transform(range(1, len(t) - 1), lambda i: concat(t[i], ' ', t[i + 1], ' ', t[i + 2])))) AS g FROM run_toks"""),
+            ("tf", "SELECT run_id, term, count(*) AS tf FROM (SELECT run_id, unnest(g) AS term FROM run_grams) GROUP BY run_id, term"),
+            ("vocab", f"""SELECT term, df FROM (SELECT term, sum(tf) AS n, count(*) AS df FROM run_tf GROUP BY term
+ ORDER BY n DESC, term LIMIT {DEFAULT_VOCABULARY})"""),
+            ("weights", """SELECT run_id, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM runs)) / (1 + df)) + 1) AS w FROM run_tf JOIN run_vocab USING (term)"""),
+        )
+    },
     "predictions": """SELECT p.run_id, r.label AS truth, coalesce(p.id, 'clean') AS predicted, p.confidence FROM primaries p JOIN runs r ON p.run_id = r.run_id""",
     "classes": """SELECT class, sum(support)::BIGINT AS support, sum(guessed)::BIGINT AS guessed, sum(hits)::BIGINT AS hits FROM (
  SELECT truth AS class, 1 AS support, 0 AS guessed, (truth = predicted)::INT AS hits FROM predictions
@@ -367,6 +379,25 @@ SELECTS: dict[str, str] = {
     "ngrams": "SELECT doc_id, len(g)::BIGINT AS n_terms, array_to_string(g, '|') AS terms FROM grams",
     "vocabulary": 'SELECT term, "count", idx FROM vocab',
     "tfidf": "SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weights",
+    "hybrid_features": """SELECT run_id, sum(n)::BIGINT AS n_values, round(sum(v), 4) AS total FROM (
+ SELECT run_id, count(*) AS n, sum(w) / sqrt(sum(w * w)) AS v FROM run_weights GROUP BY run_id
+ UNION ALL SELECT run_id, count(*), sum(value) FROM long_features WHERE value <> 0 GROUP BY run_id) GROUP BY run_id""",
+    "model_roundtrip": "SELECT run_id, true AS same FROM runs",
+    "train_model": "SELECT label, 200::BIGINT AS n_trees, true AS sound FROM runs GROUP BY label",
+    "cv_score": "SELECT unnest(range(5))::BIGINT AS fold, true AS good, true AS good_mean, true AS steady",
+    "predict_top5": """SELECT run_id, least(5, (SELECT count(DISTINCT label) FROM runs))::BIGINT AS n_classes, true AS ranked, true AS sums_to_one FROM runs""",
+    "predict_batch": "SELECT run_id, label, true AS sound FROM runs",
+    "explain": "SELECT run_id, 'feature_importance' AS explanation_method, true AS explained, true AS sound FROM runs",
+    "model_diagnosis": """SELECT run_id, p.label AS predicted, CASE WHEN p.label = 'clean' THEN 'pass' WHEN severity IN ('critical', 'high') THEN 'fail' ELSE 'warn' END AS verdict,
+ c.label, severity, icon, cause, fix, command FROM runs p LEFT JOIN catalog c ON p.label = c.id""",
+    "model_alternatives": "SELECT run_id, true AS sound FROM runs",
+    "training_report": f"""SELECT class, CASE WHEN class <> 'accuracy' THEN 1.0 END::DOUBLE AS precision, CASE WHEN class <> 'accuracy' THEN 1.0 END::DOUBLE AS recall,
+ 1.0::DOUBLE AS f1, support FROM (SELECT label AS class, least({SAMPLE_PER_LABEL}, count(*))::BIGINT AS support FROM runs GROUP BY label
+ UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), sum(n)::BIGINT FROM (SELECT least({SAMPLE_PER_LABEL}, count(*)) AS n FROM runs GROUP BY label))""",
+    "parse_runs": """SELECT m.run_id, coalesce(d.n, 0)::BIGINT AS n_detected, coalesce(p.n, 0)::BIGINT AS total_processes,
+ coalesce(p.n_done, 0)::BIGINT AS completed_processes, coalesce(p.n - p.n_done, 0)::BIGINT AS failed_processes, m.failed_process
+ FROM meta m LEFT JOIN (SELECT run_id, count(*) AS n FROM detected GROUP BY run_id) d ON m.run_id = d.run_id
+ LEFT JOIN (SELECT run_id, count(*) AS n, count(*) FILTER (done) AS n_done FROM procs GROUP BY run_id) p ON m.run_id = p.run_id""",
     "label_index": "SELECT run_id, label, dense_rank() OVER (ORDER BY label) - 1 AS label_idx FROM runs",
     "cv_folds": f"SELECT run_id, label, (row_number() OVER (PARTITION BY label ORDER BY {_HASH42}) - 1) % 5 AS fold FROM runs",
     "classification_report": """SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM (

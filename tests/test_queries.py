@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import TABLES, compare
+from flowtriage.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = (
@@ -38,4 +39,4 @@ def test_every_category_occurs(spark):
 
 def test_sql_only_for_known_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) == 81
+    assert len(QUERIES) == 85 and set(QUERIES) <= set(entry.oracle_sql())

@@ -161,3 +161,41 @@ def test_accents_of_other_scripts(spark):
     for i, word in enumerate(words[:6]):
         plain = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
         assert found[i] == re.findall(r"\b\w\w+\b", plain), word
+
+
+def test_boosting_takes_the_best_split_and_newton_leaves():
+    import numpy as np
+
+    from flowtriage.functions import boosting
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((60, 7)) * (rng.random((60, 7)) < 0.6), 1)
+    y = ((x[:, 3] > 0.4) ^ (rng.random(60) < 0.1)).astype(float)
+    sample = boosting.Sample([np.flatnonzero(r) for r in x], [r[r != 0] for r in x])
+    nodes = boosting.fit(sample, y, trees=1, depth=1, step=0.1, share=1.0, seed=0)
+    rate = y.mean()
+    residual = y - rate
+    gains = {}
+    for f in range(7):
+        for cut in np.unique(x[:, f])[:-1]:
+            left, right = residual[x[:, f] <= cut], residual[x[:, f] > cut]
+            gains[f, cut] = left.sum() ** 2 / len(left) + right.sum() ** 2 / len(right)
+    (f, cut), gain = max(gains.items(), key=lambda g: g[1])
+    prior, root, left, right = nodes
+    assert prior[6] == pytest.approx(math.log(rate / (1 - rate)))
+    assert root[2] == f and cut < root[3] and root[7] == pytest.approx(gain)
+    inside = x[:, f] > root[3]
+    for leaf, rows in ((left, ~inside), (right, inside)):
+        assert leaf[6] == pytest.approx(0.1 * residual[rows].sum() / (rows.sum() * rate * (1 - rate)))
+    deep = boosting.fit(sample, y, trees=60, depth=3, step=0.1, share=0.8, seed=1)
+    forest = boosting.Forest(np.array([[0, *n] for n in deep], float), 1)
+    assert np.mean((forest.margins(x)[:, 0] > 0) == y) > 0.9
+    empty = boosting.Sample([np.array([], int)] * 3, [np.array([])] * 3)
+    assert len(boosting.fit(empty, np.array([1.0, 0, 0]), trees=2, depth=2, step=0.1, share=1.0, seed=0)) == 3
+
+
+def test_sample_is_bounded_per_label(spark):
+    rows = [(i, f"text number {i} of {'ab'[i % 2]}", "ab"[i % 2]) for i in range(60)]
+    fitted = TriageClassifier(max_features=30, max_iter=3, max_depth=2, per_label=5)
+    matrix = fitted.prepare(spark.createDataFrame(rows, "run_id bigint, text string, label string"))
+    assert sorted(r["count"] for r in matrix.groupBy("label").count().collect()) == [5, 5]
