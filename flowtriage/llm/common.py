@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowtriage.session import checkpoint_dir
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+BATCH_BYTES = "16m"
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(0x632BE59BD9B4E019)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -26,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the batches of texts that Python workers get small, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, to be broadcast if it is counted to have at most ``most`` rows of a few bytes."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash pairs of 64-bit values, in order, to 64 bits."""
     with np.errstate(over="ignore"):

@@ -21,7 +21,7 @@ from flowtriage.llm import (
     suffix_dedup,
     token_rollup,
 )
-from flowtriage.llm.common import table
+from flowtriage.llm.common import small_side, table
 from flowtriage.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,10 +98,12 @@ def op2_token_rollup(spark, sf_dir):
     load = docs.withColumn("op", F.lit("insert"))
     rollup.apply("load", load)
     rollup.apply("load", load)
-    judged = docs.join(labels, "doc_id")
+    none = F.lit(None).cast("string")
+    deleted = labels.where("toxic = 1").select(F.lit("delete").alias("op"), "doc_id", *[none.alias(c) for c in ("source", "lang", "text")])
+    poor = labels.where("toxic = 0 AND quality = 0").select("doc_id")
     squeezed = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
-    revised = judged.where("toxic = 0 AND quality = 0").withColumn("text", squeezed).withColumn("op", F.lit("revise"))
-    rollup.apply("take-down", judged.where("toxic = 1").withColumn("op", F.lit("delete")).unionByName(revised))
+    revised = docs.join(small_side(poor), "doc_id").withColumn("text", squeezed).withColumn("op", F.lit("revise"))
+    rollup.apply("take-down", deleted.unionByName(revised))
     return rollup.totals()
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from flowtriage.llm.common import bounded_batches
+
 KEYS = ("source", "lang", "tokenizer")
 _LEDGER = "doc_id bigint, source string, lang string, tokenizer string, docs bigint, tokens bigint"
 _TOTALS = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
@@ -29,6 +31,7 @@ def byte_pair_counter(spark: SparkSession, path: str, pattern: str):
     size is that of a vocabulary, and executors get it by broadcast.  Null
     texts have no tokens; special tokens are ordinary text.
     """
+    bounded_batches(spark)
     with open(path, "rb") as file:
         shared = spark.sparkContext.broadcast(file.read())
 
