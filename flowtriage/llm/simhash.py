@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from flowtriage.llm.common import cut
+from flowtriage.llm.common import bounded_batches, cut
 from flowtriage.llm.components import bucket_components
 
 SHINGLE_WORDS = 3
@@ -71,21 +71,13 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """Label each row of ``docs`` (doc_id, text) with its group of near copies.
-
-    Equal fingerprints are one node; nodes are linked at ``max_distance`` or
-    fewer differing bits.  Candidates share a joint key of blocks; they are
-    verified, and components are found without listing the pairs of a group.
-
-    Returns (doc_id, fingerprint bigint, component_id), one row per input row.
-    component_id is the smallest doc_id in reach.  Null texts count as empty
-    and are linked like any other; a null doc_id is never the smallest unless
-    no other is in reach.  Repeated rows keep their number.
-    """
-    rows = cut(docs.select("doc_id", fingerprint("text").alias("fingerprint")))
+def _grouped(docs: DataFrame, max_distance: int, blocks: int) -> DataFrame:
+    """(doc_id, own, fingerprint, component, component_id) of each row; own is a hash of the text."""
+    bounded_batches(docs.sparkSession)
+    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("own"), fingerprint("text").alias("fingerprint")))
     nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    keyed = nodes.select(F.col("fingerprint").alias("node"), F.explode(block_keys(F.col("fingerprint"), max_distance, blocks)).alias("bucket"))
+    keys = block_keys(F.col("fingerprint"), max_distance, blocks)
+    keyed = nodes.select(F.col("fingerprint").alias("node"), F.explode(keys).alias("bucket"))
     counts = keyed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     members = keyed.join(counts.select("bucket"), "bucket")
 
@@ -97,22 +89,35 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, blocks: i
         "fingerprint", "first", F.coalesce("component", "fingerprint").alias("component")
     )
     firsts = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    names = labelled.join(firsts, "component").select("fingerprint", "component_id")
-    return rows.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    names = labelled.join(firsts, "component").select("fingerprint", "component", "component_id")
+    return rows.join(names, "fingerprint")
+
+
+def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """Label each row of ``docs`` (doc_id, text) with its group of near copies.
+
+    Equal fingerprints are one node; nodes are linked at ``max_distance`` or
+    fewer differing bits.  Candidates share a joint key of blocks; they are
+    verified, and components are found without listing the pairs of a group.
+
+    Returns (doc_id, fingerprint bigint, component_id), one row per input row.
+    component_id is the smallest doc_id in reach.  Null texts count as empty
+    and are linked like any other; a null doc_id is never the smallest unless
+    no other is in reach.  Repeated rows keep their number.
+    """
+    return _grouped(docs, max_distance, blocks).select("doc_id", "fingerprint", "component_id")
 
 
-def representatives(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def representatives(docs: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with all their columns.
 
-    One row per group stays: that of the smallest doc_id, and of rows with
-    that doc_id the one whose text sorts first by hash.
+    One row per group stays: that of the smallest doc_id, and of several rows
+    with that doc_id the one whose text has the least hash.
     """
     columns = docs.columns
-    groups = near_duplicates(docs, max_distance)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_doc"), F.col("fingerprint").alias("_kept")
-    ).distinct()
-    own = docs.withColumn("_fingerprint", fingerprint("text"))
-    joined = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_fingerprint") == F.col("_kept")))
-    order = Window.partitionBy("doc_id", "_fingerprint").orderBy(F.xxhash64("text"))
+    groups = _grouped(docs, max_distance, blocks).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = groups.groupBy("component").agg(F.min("own").alias("_kept"), F.min("component_id").alias("_doc")).drop("component")
+    own = docs.withColumn("_own", F.xxhash64("text"))
+    joined = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_kept")))
+    order = Window.partitionBy("doc_id", "_own").orderBy("_own")
     return joined.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*columns)
