@@ -209,3 +209,17 @@ def test_bands_catch_pairs_at_the_threshold():
             total += 1
             found += bool((one == two).any())
     assert found / total > 0.96
+
+
+@pytest.mark.parametrize("tail", [1, 2, 3, 6])
+def test_bands_catch_short_pairs_as_often_as_long_ones(tail):
+    """Pairs of 16 to 61 characters at exactly 0.8, which differ in their last ``tail`` characters."""
+    rng = random.Random(tail)
+    lines = []
+    for _ in range(1500):
+        start = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(8 * tail + 7))
+        lines += [start + "A" * tail, start + "B" * tail]
+    parts = [{t[i : i + 8] for i in range(len(t) - 7)} for t in lines[:2]]
+    assert len(parts[0] & parts[1]) == 0.8 * len(parts[0] | parts[1])
+    keys = fuzzy_lines.band_keys(lines)
+    assert (keys[::2] == keys[1::2]).any(axis=1).mean() > 0.975
