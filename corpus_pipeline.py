@@ -34,8 +34,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of every group of near copies."""
-    return simhash.representatives(docs.select(*DOCUMENT_COLUMNS))
+    """The document of the smallest doc_id of every group of near copies.
+
+    Near copies are within 3 bits by the fingerprints of op10, or have 0.8 of their 5-word shingles in common.
+    """
+    return simhash.representatives(docs.select(*DOCUMENT_COLUMNS), widen=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,3 +223,35 @@ def test_bands_catch_short_pairs_as_often_as_long_ones(tail):
     assert len(parts[0] & parts[1]) == 0.8 * len(parts[0] | parts[1])
     keys = fuzzy_lines.band_keys(lines)
     assert (keys[::2] == keys[1::2]).any(axis=1).mean() > 0.975
+
+
+def test_representatives_leave_no_pair_of_similar_texts(documents):
+    rng = random.Random(7)
+    base = [prose(rng, 130, 9000) for _ in range(15)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + i, changed(rng, base[i % 15], rng.randrange(1, 4))) for i in range(45)]
+    rows += [(200, "few words"), (201, "Few  words"), (202, "other words"), (203, None), (204, "")]
+    sets = []
+    for _, t in rows:
+        words = (t or "").lower().split()
+        sets.append(set(zip(*(words[k:] for k in range(max(1, min(5, len(words))))))))
+    prints = [simhash.fingerprint_of(t) for _, t in rows]
+    links, missed = [], 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            near = ((prints[i] ^ prints[j]) % (1 << 64)).bit_count() <= 3
+            alike = bool(a | b) and len(a & b) >= 0.8 * len(a | b)
+            missed += alike and not near
+            if near or alike:
+                links.append((rows[j][0], rows[i][0]))
+    expected = set(roots([i for i, _ in rows], links).values())
+    assert missed > 10
+    kept = simhash.representatives(documents(*rows), widen=True)
+    assert {r.doc_id for r in kept.collect()} == expected
+    assert len(expected) < simhash.representatives(documents(*rows)).count()
+
+
+def test_similar_texts_on_odd_and_empty_tables(odd, no_documents):
+    kept = simhash.representatives(odd, widen=True)
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [-6, 1, 4, 5, 5]
+    assert simhash.representatives(no_documents, widen=True).count() == 0
