@@ -10,7 +10,7 @@ from statistics import fmean, pstdev
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -102,6 +102,7 @@ class TriageClassifier:
     ``per_label`` runs of each label from the corpus (a bounded, seeded
     sample) and grows the trees of every label in a task of its own; so the
     model, and what is sent to the executors, is bounded by labels and trees.
+    Vocabulary, document frequencies and labels are those of all runs.
     ``predict`` and ``explain`` take corpora of any size.
     """
 
@@ -117,24 +118,33 @@ class TriageClassifier:
     labels: list[str] | None = None
     terms: list[str] | None = None
 
+    def learn(self, runs: DataFrame) -> StringIndexerModel:
+        """Fit vocabulary, document frequencies and labels on all ``runs``."""
+        checkpoint_dir(runs.sparkSession)
+        self.weights = text.fit_weights(runs.select("run_id", "text"), self.max_features, "run_id").orderBy("idx").checkpoint()
+        self.terms = [r.term for r in self.weights.collect()]  # at most max_features rows
+        indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(runs.select("label"))
+        self.labels = list(indexer.labels)
+        return indexer
+
     def prepare(self, runs: DataFrame) -> DataFrame:
-        """Draw the sample, fit vocabulary and labels on it; return its matrix.
+        """Learn from all ``runs``; draw the sample that the trees grow on and return its matrix.
 
         The sample is at most ``per_label`` rows a label, so it may be
         broadcast.  It and the matrix are checkpointed in the shared folder: a
         lost executor re-reads them instead of the corpus.
         """
-        spark = runs.sparkSession
-        checkpoint_dir(spark)
+        indexer = self.learn(runs)
         drawn = balanced_sample(runs, self.per_label, seed=self.seed).select("run_id")
-        runs = runs.select("run_id", "text", "label").join(F.broadcast(drawn), "run_id", "left_semi")
+        return self._drawn_matrix(runs, drawn, indexer)
+
+    def _drawn_matrix(self, runs: DataFrame, drawn: DataFrame, indexer: StringIndexerModel) -> DataFrame:
+        """Matrix and label index of the few runs whose run_id is in ``drawn``, with its other columns."""
+        drawn = drawn.checkpoint()
+        runs = runs.select("run_id", "text", "label").join(F.broadcast(drawn.select("run_id")), "run_id", "left_semi")
         runs = runs.repartition("run_id").checkpoint()
-        self.weights = text.fit_weights(runs, self.max_features, "run_id").orderBy("idx").checkpoint()
-        self.terms = [r.term for r in self.weights.collect()]  # at most max_features rows
-        indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(runs)
-        self.labels = list(indexer.labels)
         labelled = indexer.transform(runs.select("run_id", "label"))
-        return self.matrix(runs).join(labelled, "run_id").checkpoint()
+        return self.matrix(runs).join(labelled, "run_id").join(F.broadcast(drawn), "run_id").checkpoint()
 
     def matrix(self, runs: DataFrame) -> DataFrame:
         self._require(self.weights)
@@ -272,13 +282,21 @@ def folds(runs: DataFrame, n: int = FOLDS, seed: int = SEED) -> DataFrame:
 def cross_validate(classifier: TriageClassifier, runs: DataFrame, n: int = FOLDS) -> DataFrame:
     """Macro F1 per fold, with mean and population deviation over the folds.
 
-    Vocabulary and labels are fitted once on the training sample, whose folds
-    each train on the others.  All trees of all folds grow in one job.
+    Vocabulary and labels are fitted once on all runs, which are all dealt to
+    folds.  The trees of a fold grow on the first ``per_label`` runs of each
+    label of the other folds, and predict every run of the fold.  All trees of
+    all folds grow in one job.
     """
-    matrix = classifier.prepare(runs)
-    dealt = matrix.join(folds(matrix, n, classifier.seed).select("run_id", F.col("fold").cast("int").alias("fold")), "run_id").checkpoint()
-    training = F.filter(F.array(*[F.lit(k) for k in range(n)]), lambda k: k != F.col("fold"))
-    grown = classifier._grown(dealt.withColumn("left_out", training).drop("fold"))
+    indexer = classifier.learn(runs)
+    placed = hash_position(runs.select("run_id", "label"), "run_id", by=["label"], seed=classifier.seed)
+    # A run at a position has so many runs of its label before it that are not of fold k.
+    position, every = F.col("position"), F.array(*[F.lit(k) for k in range(n)])
+    before = lambda k: position - F.floor((position + F.lit(n - 1) - k) / n)
+    training = F.filter(every, lambda k: (k != position % n) & (before(k) < classifier.per_label))
+    drawn = placed.where(position < n * (classifier.per_label + n)).select("run_id", training.alias("left_out")).where(F.size("left_out") > 0)
+    grown = classifier._grown(classifier._drawn_matrix(runs, drawn, indexer))
+    dealt = folds(runs, n, classifier.seed)
+    dealt = classifier.matrix(runs).join(dealt, "run_id").checkpoint()
     scores = []
     for k in range(n):
         classifier.nodes = grown[grown["fold"] == k].drop(columns="fold")

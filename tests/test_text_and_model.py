@@ -199,3 +199,36 @@ def test_sample_is_bounded_per_label(spark):
     fitted = TriageClassifier(max_features=30, max_iter=3, max_depth=2, per_label=5)
     matrix = fitted.prepare(spark.createDataFrame(rows, "run_id bigint, text string, label string"))
     assert sorted(r["count"] for r in matrix.groupBy("label").count().collect()) == [5, 5]
+
+
+def test_vocabulary_and_idf_are_those_of_all_runs(spark):
+    rows = [(i, f"text {'ab'[i % 2]} only{i}", "ab"[i % 2]) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "run_id bigint, text string, label string")
+    fitted = TriageClassifier(max_features=500, per_label=5)
+    fitted.prepare(corpus)
+    assert {f"only{i}" for i in range(60)} <= set(fitted.terms)
+    idf = {r.term: r.idf for r in fitted.weights.collect()}
+    assert idf["only7"] == pytest.approx(math.log(61 / 2) + 1) and idf["text"] == pytest.approx(1.0)
+
+
+def test_cross_validation_scores_every_run(spark, monkeypatch):
+    rows = [(i, f"number {i} of {'alpha beta'.split()[i % 3 % 2]}", "ab"[i % 3 % 2]) for i in range(90)]
+    corpus = spark.createDataFrame(rows, "run_id bigint, text string, label string")
+    scored, grown = [], []
+    report, grow = model.classification_report, TriageClassifier._grown
+
+    def counting(pairs):
+        scored.append(pairs.count())
+        return report(pairs)
+
+    def growing(self, matrix):
+        each = matrix.select("label", F.explode("left_out").alias("fold"), "run_id")
+        grown.extend((r.label, r.fold, sorted(r.ids)) for r in each.groupBy("label", "fold").agg(F.collect_list("run_id").alias("ids")).collect())
+        return grow(self, matrix)
+
+    monkeypatch.setattr(model, "classification_report", counting)
+    monkeypatch.setattr(TriageClassifier, "_grown", growing)
+    got = model.cross_validate(TriageClassifier(max_features=40, max_iter=3, max_depth=2, per_label=7), corpus).collect()
+    assert len(got) == 5 and len(scored) == 5 and sum(scored) == 90
+    own = {r.run_id: r.fold for r in model.folds(corpus).collect()}
+    assert len(grown) == 10 and all(len(ids) == 7 and all(own[i] != fold for i in ids) for _, fold, ids in grown)
