@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,3 +88,17 @@ def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, and only the columns used later are read."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def within_bytes(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """``df``, to be broadcast if its text columns and 16 bytes a row come to at most ``most`` bytes."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    size = df.agg(F.sum(sum(texts, F.lit(16))).alias("size")).first()["size"] or 0
+    return F.broadcast(df) if size <= most else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowtriage.llm import budget_mix, interleave, risk_rules, suffix_dedup
+from flowtriage.llm import budget_mix, collocations, interleave, risk_rules, source_divergence, suffix_dedup
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda w: w <> '')"
@@ -196,10 +196,88 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce
 FROM w LEFT JOIN kept USING (rid)"""
 
 
+def _ascii_lower(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op11() -> str:
+    least, percent, scale = collocations.MIN_COUNT, collocations.COVERED_PERCENT, collocations.SCALE
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS k, array_to_string(ws[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM w WHERE len(ws) >= {k})"
+        for k in (1, 2, 3, 4)
+    )
+    cuts = " UNION ALL ".join(
+        f"SELECT lang, k, phrase, a, ws, {cut} AS cut, array_to_string(ws[1:{cut}], ' ') AS first, array_to_string(ws[{cut + 1}:], ' ') AS rest FROM cand WHERE k > {cut}"
+        for cut in (1, 2, 3)
+    )
+    inner = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(ws[{at}:{at + k - 1}], ' ') AS phrase, a FROM cand WHERE k = {n}"
+        for n in (3, 4) for k in range(2, n) for at in range(1, n - k + 2)
+    )
+    return rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_ascii_lower("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang
+), f AS (SELECT lang, k, phrase, count(*) AS a FROM ({grams}) GROUP BY lang, k, phrase
+), cand AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND a >= {least}
+), cuts AS ({cuts}
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, cut, l.a AS l, r.a AS r, CAST({scale}::HUGEINT * c.a // (l.a + r.a) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.first JOIN f r ON r.lang = c.lang AND r.phrase = c.rest
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), covered AS (SELECT lang, phrase, max(a) AS most FROM ({inner}) GROUP BY lang, phrase
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN covered USING (lang, phrase) WHERE most IS NULL OR 100 * most < {percent} * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= {collocations.SHOWN}"""
+
+
+def _op13() -> str:
+    least, smooth, scale = source_divergence.MIN_DOCS, source_divergence.SMOOTHING, source_divergence.SCALE
+    share = f"1 + CAST({scale}::HUGEINT * ({{n}} + {smooth}) // ({{total}} + {smooth} * n_terms) AS BIGINT)"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc, lang, source, unnest(regexp_extract_all({_ascii_lower("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= {least}
+), sizes AS (SELECT lang, count(*) AS n_terms FROM kept GROUP BY lang
+), uses AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), grp AS (
+  SELECT g.lang, g.source, coalesce(total, 0) AS total, coalesce(n_terms, 0) AS n_terms
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN sizes USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM uses GROUP BY lang, source) USING (lang, source)
+), p AS (
+  SELECT grp.lang, grp.source, kept.term, coalesce(n, 0) AS n, {share.format(n="coalesce(n, 0)", total="total")} AS p
+  FROM grp JOIN kept USING (lang) LEFT JOIN uses USING (lang, source, term)
+), q AS (
+  SELECT lang, term, {share.format(n="t.n", total="l.total")} AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM uses GROUP BY lang, term) t
+  JOIN (SELECT lang, sum(n) AS total FROM uses GROUP BY lang) l USING (lang) JOIN sizes USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), every AS (
+  SELECT * FROM pair UNION ALL
+  SELECT p.lang, source, 'term', p.term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= {source_divergence.TERMS_SHOWN}"""
+
+
 STATEMENTS = {
     "op3_reply_trees": _op3(),
     "op4_risk_rules": _op4(),
     "op5_interleave": _op5(),
     "op8_budget_mix": _op8(),
     "op9_substring_dedup": _op9(),
+    "op11_collocations": _op11(),
+    "op13_source_divergence": _op13(),
 }

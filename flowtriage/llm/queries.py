@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from flowtriage.llm import (
     budget_mix,
     chat_trees,
+    collocations,
     decontaminate,
     fuzzy_lines,
     interleave,
     oracle,
+    pivot_index,
     pu_classifier,
     risk_rules,
     simhash,
+    source_divergence,
     suffix_dedup,
     token_rollup,
 )
@@ -111,3 +114,18 @@ def op2_token_rollup(spark, sf_dir):
 def op7_fuzzy_lines(spark, sf_dir):
     found = fuzzy_lines.duplicate_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed")
+
+
+@query
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_pivot_index(spark, sf_dir):
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))

@@ -24,7 +24,7 @@ def documents_rows():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations", "benchmark"):
+    for t in ("documents", "labels", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     result = con.execute(queries.ORACLE[name])
     names = [d[0] for d in result.description]
