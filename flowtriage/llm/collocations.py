@@ -21,7 +21,7 @@ NO_LANG = "und"
 
 # At most so many bits (32 MB) say which words and pairs of words are frequent.
 FILTER_BITS = 1 << 28
-_FLUSH_WORDS = 1 << 21
+_FLUSH_WORDS = 1 << 20
 _OUT_ROWS = 1 << 16
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _UPPER = bytes(range(65, 91))
@@ -115,9 +115,10 @@ def _count_grams(shared):
                 size += going
             at = np.nonzero(here)[0]
             padded = np.append(code, np.zeros(LONGEST, code.dtype))
-            columns = [lang[at], *(np.where(size[at] > k, padded[at + k], 0) for k in range(LONGEST))]
             if not len(at):
                 continue
+            columns = [lang[at].astype(np.int32), *(np.where(size[at] > k, padded[at + k], 0).astype(np.int32) for k in range(LONGEST))]
+            del one, two, on, going, padded
             order = np.lexsort(columns[::-1])
             columns = [c[order] for c in columns]
             fresh = np.zeros(len(at), bool)
