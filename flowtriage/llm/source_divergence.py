@@ -27,7 +27,7 @@ _OUT_ROWS = 1 << 16
 _CELLS = 1 << 22
 _SMALL_GROUPS = 1 << 20
 
-_PARTIAL = "lang string, chunk binary, n_docs bigint, docs array<bigint>, sources array<string>, counts array<bigint>"
+_PARTIAL = "lang string, chunk binary, n_docs int, base bigint, docs array<int>, sources array<string>, counts array<int>"
 _FACTOR = "lang string, terms array<binary>, times array<bigint>, n_docs bigint, docs array<bigint>, sources array<string>, counts array<bigint>"
 _LISTS = {"docs": pa.int64(), "sources": pa.string(), "counts": pa.int64()}
 
@@ -58,6 +58,7 @@ def _counted(rows: list[tuple], min_docs: int) -> Iterator[pa.RecordBatch]:
     langs, lang = np.unique(np.array([r[1] for r in rows], object), return_inverse=True)
     sources, source = np.unique(np.array([r[2] for r in rows], object), return_inverse=True)
     number = np.array([r[0] for r in rows], np.int64)
+    base = int(number.min())
     owner = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
     keys, times = np.unique(np.concatenate([r[3] for r in rows]).astype(np.int64) * len(rows) + owner, return_counts=True)
     if not len(keys):
@@ -71,14 +72,15 @@ def _counted(rows: list[tuple], min_docs: int) -> Iterator[pa.RecordBatch]:
         {
             "lang": pa.array(langs, pa.string()).take(pa.array(lang[doc[entry]])),
             "chunk": pa.array(words, pa.binary()).take(pa.array(word[entry])),
-            "n_docs": pa.array(n_docs, pa.int64()),
-            "docs": _lists(pa.array(number[doc[listed]]), np.where(n_docs < min_docs, n_docs, 0)),
+            "n_docs": pa.array(n_docs, pa.int32()),
+            "base": pa.array(np.full(len(entry), base)),
+            "docs": _lists(pa.array((number[doc[listed]] - base).astype(np.int32)), np.where(n_docs < min_docs, n_docs, 0)),
             "sources": _lists(
                 pa.array(sources, pa.string()).take(pa.array(source[doc[by_source]])),
                 _sizes(np.searchsorted(by_source, entry), len(by_source)),
             ),
             "counts": _lists(
-                pa.array(np.add.reduceat(times, by_source).astype(np.int64)),
+                pa.array(np.add.reduceat(times, by_source).astype(np.int32)),
                 _sizes(np.searchsorted(by_source, entry), len(by_source)),
             ),
         }
@@ -109,6 +111,17 @@ def _count_chunks(min_docs: int):
     return run
 
 
+def _numbered(batch: pa.RecordBatch) -> pa.Table:
+    """Rows with the documents' own numbers, which travel as small distances from the first of their task."""
+    base, docs = batch.column("base").to_numpy(), batch.column("docs")
+    sizes = pc.list_value_length(docs).to_numpy()
+    columns = {c: batch.column(c) for c in ("lang", "chunk", "sources")}
+    columns["n_docs"] = batch.column("n_docs").cast(pa.int64())
+    columns["docs"] = _lists(pa.array(np.repeat(base, sizes) + docs.flatten().to_numpy()), sizes)
+    columns["counts"] = batch.column("counts").cast(pa.list_(pa.int64()))
+    return pa.table(columns)
+
+
 def _merged(table: pa.Table, min_docs: int) -> pa.Table:
     """One row per chunk and language of rows sorted by them."""
     table = table.combine_chunks()
@@ -161,8 +174,8 @@ def _factor(min_docs: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch])
-            rows = _merged(rows if held is None else pa.concat_tables([held, rows.cast(held.schema)]), min_docs)
+            rows = _numbered(batch)
+            rows = _merged(rows if held is None else pa.concat_tables([held.select(rows.column_names), rows.cast(held.select(rows.column_names).schema)]), min_docs)
             code = rows.column("chunk").combine_chunks().dictionary_encode().indices.to_numpy()
             last = int(np.searchsorted(code, code[-1]))
             held = rows.slice(last)
