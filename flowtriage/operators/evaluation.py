@@ -62,6 +62,23 @@ def classification_report(pairs: DataFrame) -> DataFrame:
     return scored.select("class", *metrics, "support").unionByName(averages)
 
 
+def fold_scores(predictions: DataFrame) -> DataFrame:
+    """Per fold: n_runs, n_right and the macro F1 over the classes that it or its predictions hold."""
+    cells = predictions.groupBy("fold", "label", "predicted").agg(F.count("*").alias("n"))
+    hit = F.col("label") == F.col("predicted")
+    none = F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(F.col("label").alias("class"), F.col("n").alias("support"), none.alias("guessed"), F.when(hit, F.col("n")).otherwise(none).alias("hits")),
+        F.struct(F.col("predicted").alias("class"), none.alias("support"), F.col("n").alias("guessed"), none.alias("hits")),
+    )
+    totals = cells.select("fold", F.inline(sides)).groupBy("fold", "class").agg(
+        F.sum("support").alias("support"), F.sum("guessed").alias("guessed"), F.sum("hits").alias("hits")
+    )
+    f1 = 2 * F.col("hits") / (F.col("support") + F.col("guessed"))
+    scored = totals.groupBy("fold").agg(F.sum("support").alias("n_runs"), F.sum("hits").alias("n_right"), F.avg(f1).alias("f1_macro"))
+    return scored.select(F.col("fold").cast("bigint").alias("fold"), "n_runs", "n_right", "f1_macro").orderBy("fold")
+
+
 def diagnosis(predictions: DataFrame, categories: DataFrame) -> DataFrame:
     """Verdict and catalogue texts for each predicted label.
 

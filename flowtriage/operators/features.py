@@ -48,8 +48,8 @@ def _marker(name: str) -> Column:
     return found.cast("bigint")
 
 
-def features(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFrame:
-    """``run_id`` plus the ordered feature columns."""
+def features(runs: DataFrame, catalog: list[Category] = CATEGORIES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``run_id`` plus the ordered feature columns; columns named in ``keep`` come along."""
     # Only digits are read from these matches, so the folded text serves them all.
     text, folded = F.col("text"), F.col("_folded")
     n_processes, n_completed = process_counts(folded, rx.folded_regex(PROCESS_FEATURE_REGEX), progress_group=2)
@@ -57,6 +57,7 @@ def features(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFrame
         runs.withColumn("_folded", rx.fold(text))
         .select(
             "run_id",
+            *keep,
             exit_code(folded).alias("exit_code"),
             _gigabytes(folded, MEMORY_REQUESTED_REGEX).alias("memory_requested_gb"),
             _gigabytes(folded, MEMORY_AVAILABLE_REGEX).alias("memory_available_gb"),
@@ -79,7 +80,7 @@ def features(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFrame
             **{f"exit_is_{code}": (F.col("exit_code") == code).cast("bigint") for code in EXIT_ONE_HOT},
         }
     )
-    return derived.select("run_id", *feature_names(catalog))
+    return derived.select("run_id", *keep, *feature_names(catalog))
 
 
 def feature_pairs(catalog: list[Category] = CATEGORIES, offset: int = 0) -> Column:

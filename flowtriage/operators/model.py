@@ -1,27 +1,34 @@
-"""Hybrid failure classifier: TF-IDF and structured features into boosted trees."""
+"""Hybrid failure classifier: TF-IDF and structured features into tree ensembles."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
+import time
+import uuid
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 from statistics import fmean, pstdev
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
+from pyspark.ml.classification import (
+    GBTClassifier,
+    OneVsRest,
+    OneVsRestModel,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import StructField, StructType
 
-from flowtriage.functions import boosting, sql
+from flowtriage.functions import sql
 from flowtriage.functions.catalog import CATEGORIES, Category, feature_names
 from flowtriage.functions.ranking import hash_position
 from flowtriage.operators import text
-from flowtriage.operators.evaluation import balanced_sample, classification_report
+from flowtriage.operators.evaluation import balanced_sample, fold_scores
 from flowtriage.operators.features import feature_pairs, features
-from flowtriage.session import checkpoint_dir
+from flowtriage.session import checkpoint_dir, stored
 
 TOP_CLASSES = 5
 TOP_FEATURES = 10
@@ -31,27 +38,22 @@ EXPLANATION_METHOD = "feature_importance"
 
 # Training takes up to so many runs of each label, the size of the documented training set.
 SAMPLE_PER_LABEL = 200
-NODES = ("tree", "node", "feature", "threshold", "left", "right", "value", "gain")
-_NODES = "tree int, node int, feature int, threshold double, left int, right int, value double, gain double"
-
-# Functions travel to the executors with their code: those need not have this package.
-for _module in (sys.modules[__name__], boosting):
-    cloudpickle.register_pickle_by_value(_module)
+FOREST, BOOSTED = "forest", "boosted"
+# A model folder holds versions, and a note for each that is complete.
+_NOTE = "version string, published bigint, learner string"
 
 
 def hybrid_features(
-    runs: DataFrame, weights: DataFrame, n_terms: int, catalog: list[Category] = CATEGORIES
+    runs: DataFrame, weights: DataFrame, n_terms: int, catalog: list[Category] = CATEGORIES, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``pairs`` (idx, value) per run: TF-IDF weights, then structured features, by idx.
 
-    A run contributes at most one pair per vocabulary term and feature, so the
-    list collected for it is bounded by the vocabulary cap.
+    Both are computed within the row of the run, so nothing is shuffled.
     """
-    weighted = text.tfidf(runs, weights, "run_id").select(
-        "run_id", F.struct(F.col("idx").cast("int").alias("idx"), F.col("weight").alias("value")).alias("pair")
-    )
-    structured = features(runs, catalog).select("run_id", F.explode(feature_pairs(catalog, n_terms)).alias("pair"))
-    return weighted.unionByName(structured).groupBy("run_id").agg(F.array_sort(F.collect_list("pair")).alias("pairs"))
+    weighted = text.weighted(runs, weights, "run_id", keep=("text", *keep))
+    terms = F.transform("pairs", lambda p: F.struct(p["idx"].alias("idx"), p["value"].alias("value")))
+    rows = features(weighted.withColumn("pairs", terms), catalog, keep=("pairs", *keep))
+    return rows.select("run_id", *keep, F.concat("pairs", feature_pairs(catalog, n_terms)).alias("pairs"))
 
 
 def label_index(runs: DataFrame) -> DataFrame:
@@ -81,29 +83,41 @@ def top_contributions(pairs: Column, importances: list[float], names: list[str],
     )
 
 
-def _fit_group(settings: dict):
-    """Fit one class against the rest on the rows of a group."""
+def as_vectors(matrix: DataFrame, size: int, by: str | None = None) -> DataFrame:
+    """``matrix`` with its ``pairs`` as sparse vectors of ``size`` entries in ``features``.
+
+    The rows are written to the shared folder once, as what a vector is stored
+    as, and read back as vectors: no Python, and training and prediction do not
+    repeat the extraction.
+    """
+    columns = [c for c in matrix.columns if c != "pairs"]
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(size).alias("size"),
+        F.transform("pairs", lambda p: p["idx"]).alias("indices"),
+        F.transform("pairs", lambda p: p["value"]).alias("values"),
+    )
+    fields = [matrix.schema[c] for c in columns]
+    return stored(matrix.select(*columns, vector.alias("features")), StructType([*fields, StructField("features", VectorUDT())]), by)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("run_id")
-        sample = boosting.Sample(rows["indices"].tolist(), rows["values"].tolist())
-        nodes = boosting.fit(sample, (rows["label_idx"] == key[-1]).to_numpy(float), **settings)
-        out = pd.DataFrame(nodes, columns=list(NODES))
-        return out.assign(fold=key[0], target=key[-1])[["fold", "target", *NODES]]
 
-    return run
+def vector_pairs(features_col: str = "features") -> Column:
+    """The (idx, value) pairs of a sparse vector column."""
+    vector = F.unwrap_udt(features_col)
+    return F.zip_with(vector["indices"], vector["values"], lambda i, v: F.struct(i.alias("idx"), v.alias("value")))
 
 
 @dataclass
 class TriageClassifier:
-    """One-vs-rest boosted trees over hybrid features.
+    """Spark ML trees over hybrid features.
 
+    ``learner`` is "forest", a multiclass ensemble of ``max_iter`` trees, or
+    "boosted", one-vs-rest gradient boosting with as many steps a label; for
+    that Spark starts some jobs for every step and label (README has times).
     The defaults are the documented training settings.  ``fit`` takes up to
     ``per_label`` runs of each label from the corpus (a bounded, seeded
-    sample) and grows the trees of every label in a task of its own; so the
-    model, and what is sent to the executors, is bounded by labels and trees.
-    Vocabulary, document frequencies and labels are those of all runs.
-    ``predict`` and ``explain`` take corpora of any size.
+    sample); vocabulary, document frequencies and labels are those of all
+    runs.  ``predict`` and ``explain`` take corpora of any size.
     """
 
     max_features: int = text.DEFAULT_VOCABULARY
@@ -113,7 +127,8 @@ class TriageClassifier:
     subsampling_rate: float = 0.8
     seed: int = SEED
     per_label: int = SAMPLE_PER_LABEL
-    nodes: pd.DataFrame | None = None
+    learner: str = FOREST
+    trees: RandomForestClassificationModel | OneVsRestModel | None = None
     weights: DataFrame | None = None
     labels: list[str] | None = None
     terms: list[str] | None = None
@@ -130,86 +145,58 @@ class TriageClassifier:
     def prepare(self, runs: DataFrame) -> DataFrame:
         """Learn from all ``runs``; draw the sample that the trees grow on and return its matrix.
 
-        The sample is at most ``per_label`` rows a label, so it may be
-        broadcast.  It and the matrix are checkpointed in the shared folder: a
-        lost executor re-reads them instead of the corpus.
+        The sample is at most ``per_label`` rows a label, so its ids may be
+        broadcast.  The matrix is written to the shared folder.
         """
         indexer = self.learn(runs)
-        drawn = balanced_sample(runs, self.per_label, seed=self.seed).select("run_id")
-        return self._drawn_matrix(runs, drawn, indexer)
-
-    def _drawn_matrix(self, runs: DataFrame, drawn: DataFrame, indexer: StringIndexerModel) -> DataFrame:
-        """Matrix and label index of the few runs whose run_id is in ``drawn``, with its other columns."""
-        drawn = drawn.checkpoint()
-        runs = runs.select("run_id", "text", "label").join(F.broadcast(drawn.select("run_id")), "run_id", "left_semi")
-        runs = runs.repartition("run_id").checkpoint()
-        labelled = indexer.transform(runs.select("run_id", "label"))
-        return self.matrix(runs).join(labelled, "run_id").join(F.broadcast(drawn), "run_id").checkpoint()
-
-    def matrix(self, runs: DataFrame) -> DataFrame:
+        drawn = balanced_sample(runs, self.per_label, seed=self.seed).select("run_id").checkpoint()
+        sample = runs.select("run_id", "text", "label").join(F.broadcast(drawn), "run_id", "left_semi")
+        return self.matrix(indexer.transform(sample), keep=("label", "label_idx"))
+
+    def matrix(self, runs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """run_id, the columns named in ``keep`` and the vector ``features`` of each run."""
         self._require(self.weights)
-        return hybrid_features(runs, self.weights, len(self.terms))
+        return as_vectors(hybrid_features(runs, self.weights, len(self.terms), keep=keep), self.width())
+
+    def width(self) -> int:
+        return len(self.terms) + len(feature_names())
 
     def fit(self, runs: DataFrame) -> TriageClassifier:
-        matrix = self.prepare(runs)
-        self.nodes = self._grown(matrix.withColumn("left_out", F.array(F.lit(-1)))).drop(columns="fold")
+        self.trees = self._grown(self.prepare(runs))
         return self
 
-    def _grown(self, matrix: DataFrame) -> pd.DataFrame:
-        """Trees of each class, for every fold that a row's ``left_out`` names it for training in."""
-        settings = {"trees": self.max_iter, "depth": self.max_depth, "step": self.step_size, "share": self.subsampling_rate, "seed": self.seed}
-        classes = F.array(*[F.lit(i) for i in range(len(self.labels))])
-        rows = matrix.select(
-            "run_id",
-            F.col("label_idx").cast("int").alias("label_idx"),
-            F.transform("pairs", lambda p: p["idx"]).alias("indices"),
-            F.transform("pairs", lambda p: p["value"]).alias("values"),
-            F.explode("left_out").alias("fold"),
-        ).withColumn("target", F.explode(classes))
-        return rows.groupBy("fold", "target").applyInPandas(_fit_group(settings), f"fold int, target int, {_NODES}").toPandas()
+    def _grown(self, matrix: DataFrame) -> RandomForestClassificationModel | OneVsRestModel:
+        """Trees grown on ``matrix`` (label_idx, features); what is drawn from it depends on its order."""
+        rows = matrix.repartition("run_id").sortWithinPartitions("run_id").select("label_idx", "features")
+        shared = {"maxDepth": self.max_depth, "subsamplingRate": self.subsampling_rate, "seed": self.seed, "labelCol": "label_idx"}
+        if self.learner == FOREST:
+            return RandomForestClassifier(numTrees=self.max_iter, featureSubsetStrategy="sqrt", **shared).fit(rows)
+        if self.learner != BOOSTED:
+            raise ValueError(f"no such learner: {self.learner}")
+        one = GBTClassifier(maxIter=self.max_iter, stepSize=self.step_size, **shared)
+        return OneVsRest(classifier=one, labelCol="label_idx").fit(rows)
 
     def classify(self, matrix: DataFrame) -> DataFrame:
-        """Add label, confidence and ``ranked`` (label, probability) structs, best first."""
-        self._require(self.nodes)
+        """Add label, confidence and ``ranked`` (label, probability) structs, best first; ties in label order."""
+        self._require(self.trees)
         names = F.array(*[F.lit(x) for x in self.labels])
-        width, classes = len(self.terms) + len(feature_names()), len(self.labels)
-        rows = self.nodes[["target", *NODES]].to_numpy(float)
-        shared = matrix.sparkSession.sparkContext.broadcast(rows)
-
-        @F.pandas_udf(ArrayType(DoubleType()))
-        def margins(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            forest = boosting.Forest(shared.value, classes)
-            for indices, values in batches:
-                out = []
-                for lo in range(0, len(indices), 512):
-                    part = range(lo, min(lo + 512, len(indices)))
-                    dense = np.zeros((len(part), width))
-                    for at, i in enumerate(part):
-                        dense[at, indices.iloc[i]] = values.iloc[i]
-                    out += forest.margins(dense).tolist()
-                yield pd.Series(out, dtype=object)
-
-        indices = F.transform("pairs", lambda p: p["idx"])
-        values = F.transform("pairs", lambda p: p["value"])
-        scores = F.transform(F.col("_margins"), lambda m: 1 / (1 + F.exp(-m)))
-        total = F.aggregate("_scores", F.lit(0.0), lambda a, x: a + x)
+        made = self.trees.transform(matrix)
+        if isinstance(self.trees, OneVsRestModel):
+            margins = vector_to_array("rawPrediction")
+            scores = F.transform(margins, lambda m: 1 / (1 + F.exp(-2 * m)))
+        else:
+            scores = vector_to_array("probability")
+        scored = made.withColumn("_scores", scores).withColumn("_total", F.aggregate("_scores", F.lit(0.0), lambda a, x: a + x))
         ranked = F.array_sort(
-            F.transform(
-                "_scores",
-                lambda s, i: F.struct((-s / F.col("_total")).alias("order"), F.get(names, i).alias("label")),
+            F.zip_with(
+                F.transform("_scores", lambda s, i: F.struct((-s).alias("order"), i.alias("at"))),
+                F.array_repeat("_total", F.size("_scores")),
+                lambda s, total: F.struct((s["order"] / total).alias("order"), s["at"].alias("at")),
             )
         )
-        return (
-            matrix.withColumn("_margins", margins(indices, values))
-            .withColumn("_scores", scores)
-            .withColumn("_total", total)
-            .withColumn(
-                "ranked",
-                F.transform(ranked, lambda r: F.struct(r["label"].alias("label"), (-r["order"]).alias("probability"))),
-            )
-            .withColumn("predicted", F.get("ranked", F.lit(0))["label"])
-            .withColumn("confidence", F.get("ranked", F.lit(0))["probability"])
-            .drop("_margins", "_scores", "_total")
+        best = F.transform(ranked, lambda r: F.struct(F.get(names, r["at"]).alias("label"), (-r["order"]).alias("probability")))
+        return scored.select(*matrix.columns, best.alias("ranked")).withColumns(
+            {"predicted": F.get("ranked", F.lit(0))["label"], "confidence": F.get("ranked", F.lit(0))["probability"]}
         )
 
     def predict(self, runs: DataFrame) -> DataFrame:
@@ -218,8 +205,10 @@ class TriageClassifier:
         ``predicted`` and ``ranked`` (all classes, best first) are what the
         diagnosis and alternatives of the evaluation operators take.
         """
+        self._require(self.trees)
         top = F.slice("ranked", 1, TOP_CLASSES)
-        return self.classify(self.matrix(runs)).select(
+        pairs = self.classify(self.matrix(runs)).withColumn("pairs", vector_pairs())
+        return pairs.select(
             "run_id",
             F.col("predicted").alias("label"),
             "confidence",
@@ -239,31 +228,50 @@ class TriageClassifier:
         return [*self.terms, *feature_names()]
 
     def importances(self) -> list[float]:
-        """Share of the gain of each feature, averaged over the trees of a class and over classes."""
-        self._require(self.nodes)
-        total = np.zeros(len(self.feature_names()))
-        inner = self.nodes[self.nodes["gain"] > 0]
-        for _, trees in inner.groupby("target"):
-            gains = np.bincount(trees["feature"], trees["gain"] / trees.groupby("tree")["gain"].transform("sum"), len(total))
-            total += gains / max(1e-12, gains.sum())
-        return [float(x) for x in total / len(self.labels)]
-
-    def save(self, path: str) -> None:
-        """Write trees, weights and labels as tables, whose sizes the settings bound."""
-        self._require(self.nodes)
+        """Importance of each feature, averaged over the labels of one-vs-rest trees."""
+        self._require(self.trees)
+        parts = self.trees.models if isinstance(self.trees, OneVsRestModel) else [self.trees]
+        total = [0.0] * self.width()
+        for part in parts:
+            found = part.featureImportances
+            for i, v in zip(found.indices.tolist(), found.values.tolist()):
+                total[i] += v / len(parts)
+        return total
+
+    def save(self, path: str) -> str:
+        """Publish the model as a new version under ``path``; returns its name.
+
+        All parts go to a folder of their own.  The note that makes the version
+        known is written last, so a half-written version is never loaded, and
+        applications that save at once do not touch each other's files.
+        """
+        self._require(self.trees)
         spark = self.weights.sparkSession
-        schema = f"target int, {_NODES}"
-        spark.createDataFrame(self.nodes[["target", *NODES]], schema).write.mode("overwrite").parquet(f"{path}/trees")
-        self.weights.write.mode("overwrite").parquet(f"{path}/weights")
-        spark.createDataFrame(list(enumerate(self.labels)), "idx int, label string").write.mode("overwrite").parquet(f"{path}/labels")
+        version = uuid.uuid4().hex
+        folder = f"{path}/versions/{version}"
+        self.trees.write().save(f"{folder}/trees")
+        self.weights.write.parquet(f"{folder}/weights")
+        spark.createDataFrame(list(enumerate(self.labels)), "idx int, label string").write.parquet(f"{folder}/labels")
+        note = spark.createDataFrame([(version, time.time_ns(), self.learner)], _NOTE)
+        note.coalesce(1).write.parquet(f"{path}/published/{version}")
+        return version
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> TriageClassifier:
-        weights = spark.read.parquet(f"{path}/weights").orderBy("idx")
+    def load(cls, spark: SparkSession, path: str, version: str | None = None) -> TriageClassifier:
+        """The named version, or the one published last."""
+        notes = spark.read.schema(_NOTE).option("recursiveFileLookup", "true").parquet(f"{path}/published")
+        known = notes if version is None else notes.where(F.col("version") == version)
+        last = known.orderBy(F.desc("published"), "version").first()
+        if last is None:
+            raise FileNotFoundError(f"no published model under {path}")
+        folder = f"{path}/versions/{last.version}"
+        weights = spark.read.parquet(f"{folder}/weights").orderBy("idx")
+        reader = RandomForestClassificationModel if last.learner == FOREST else OneVsRestModel
         return cls(
-            nodes=spark.read.parquet(f"{path}/trees").toPandas(),
+            learner=last.learner,
+            trees=reader.load(f"{folder}/trees"),
             weights=weights,
-            labels=[r.label for r in spark.read.parquet(f"{path}/labels").orderBy("idx").collect()],
+            labels=[r.label for r in spark.read.parquet(f"{folder}/labels").orderBy("idx").collect()],
             terms=[r.term for r in weights.collect()],
         )
 
@@ -273,36 +281,75 @@ class TriageClassifier:
             raise RuntimeError("Model not trained yet. Call fit() first.")
 
 
-def folds(runs: DataFrame, n: int = FOLDS, seed: int = SEED) -> DataFrame:
-    """Stratified fold of each run: labels are dealt out in a fixed random order."""
-    placed = hash_position(runs.select("run_id", "label"), "run_id", by=["label"], seed=seed)
-    return placed.select("run_id", "label", (F.col("position") % n).alias("fold"))
+def _group(name: str) -> Column:
+    """A group as text; rows without one are a group."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("")).alias("_group")
+
+
+def _placed(runs: DataFrame, seed: int, group: str) -> DataFrame:
+    """Position of each group among those of its label, in a fixed random order."""
+    groups = runs.select(_group(group), "label").groupBy("_group").agg(F.min("label").alias("label"))
+    return hash_position(groups, "_group", by=["label"], seed=seed).select("_group", "position")
 
 
-def cross_validate(classifier: TriageClassifier, runs: DataFrame, n: int = FOLDS) -> DataFrame:
+def folds(runs: DataFrame, n: int = FOLDS, seed: int = SEED, group: str = "run_id") -> DataFrame:
+    """Stratified fold of each run: labels are dealt out in a fixed random order.
+
+    With a ``group``, such as the original of oversampled copies, all rows of
+    one go to the same fold; it counts for the least of its labels.  Rows
+    without a group share one fold.
+    """
+    if group == "run_id":
+        placed = hash_position(runs.select("run_id", "label"), "run_id", by=["label"], seed=seed)
+        return placed.select("run_id", "label", (F.col("position") % n).alias("fold"))
+    dealt = _placed(runs, seed, group).select("_group", (F.col("position") % n).alias("fold"))
+    columns = [c for c in dict.fromkeys(("run_id", group, "label")) if c in runs.columns]
+    return runs.select(*columns, _group(group)).join(dealt, "_group").select(*columns, "fold")
+
+
+def cross_validate(
+    classifier: TriageClassifier, runs: DataFrame, n: int = FOLDS, group: str = "run_id", copies: str | None = None, parallelism: int = 2
+) -> DataFrame:
     """Macro F1 per fold, with mean and population deviation over the folds.
 
     Vocabulary and labels are fitted once on all runs, which are all dealt to
-    folds.  The trees of a fold grow on the first ``per_label`` runs of each
-    label of the other folds, and predict every run of the fold.  All trees of
-    all folds grow in one job.
+    folds; rows of one ``group`` share a fold.  The trees of a fold grow on the
+    first ``per_label`` groups of each label of the other folds, and predict
+    every run of the fold.  ``copies`` names a column that says how often a row
+    is taken for training: it is oversampled there only, after the folds are
+    dealt.  Returns fold, n_runs, n_right, f1_macro, mean_f1 and std_f1.
     """
     indexer = classifier.learn(runs)
-    placed = hash_position(runs.select("run_id", "label"), "run_id", by=["label"], seed=classifier.seed)
-    # A run at a position has so many runs of its label before it that are not of fold k.
+    placed = _placed(runs, classifier.seed, group)
+    # A group at a position has so many groups of its label before it that are not of fold k.
     position, every = F.col("position"), F.array(*[F.lit(k) for k in range(n)])
     before = lambda k: position - F.floor((position + F.lit(n - 1) - k) / n)
     training = F.filter(every, lambda k: (k != position % n) & (before(k) < classifier.per_label))
-    drawn = placed.where(position < n * (classifier.per_label + n)).select("run_id", training.alias("left_out")).where(F.size("left_out") > 0)
-    grown = classifier._grown(classifier._drawn_matrix(runs, drawn, indexer))
-    dealt = folds(runs, n, classifier.seed)
-    dealt = classifier.matrix(runs).join(dealt, "run_id").checkpoint()
-    scores = []
-    for k in range(n):
-        classifier.nodes = grown[grown["fold"] == k].drop(columns="fold")
-        predicted = classifier.classify(dealt.where(F.col("fold") == k))
-        report = classification_report(predicted.select("label", "predicted"))
-        scores.append((k, report.where("class = 'macro avg'").first().f1))
-    values = [f1 for _, f1 in scores]
-    table = runs.sparkSession.createDataFrame(scores, "fold bigint, f1_macro double")
+    dealt = placed.select("_group", (position % n).cast("int").alias("fold"), training.alias("trains"))
+    keep = [c for c in ("label", copies) if c]
+    columns = [F.col(c) for c in dict.fromkeys(("run_id", *keep))]
+    rows = hybrid_features(
+        indexer.transform(runs.withColumn("_group", _group(group))), classifier.weights, len(classifier.terms), keep=("_group", *keep, "label_idx")
+    )
+    joined = rows.join(dealt, "_group").select(*columns, "label_idx", "fold", "trains", "pairs")
+    matrix = as_vectors(joined, classifier.width(), by="fold")
+
+    def grown(k: int):
+        own = matrix.where(F.array_contains("trains", k))
+        if copies:
+            own = own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col(copies), F.lit(1)))))
+        return classifier._grown(own)
+
+    with ThreadPool(parallelism) as pool:
+        ensembles = pool.map(grown, range(n))
+    parts = []
+    for k, trees in enumerate(ensembles):
+        classifier.trees = trees
+        parts.append(classifier.classify(matrix.where(F.col("fold") == k)).select("fold", "label", "predicted"))
+    predicted = parts[0]
+    for part in parts[1:]:
+        predicted = predicted.unionAll(part)
+    scores = fold_scores(predicted).collect()  # one row a fold
+    values = [r.f1_macro for r in scores]
+    table = runs.sparkSession.createDataFrame([tuple(r) for r in scores], "fold bigint, n_runs bigint, n_right bigint, f1_macro double")
     return table.withColumns({"mean_f1": F.lit(fmean(values)), "std_f1": F.lit(pstdev(values))})

@@ -382,15 +382,21 @@ SELECTS: dict[str, str] = {
     "hybrid_features": """SELECT run_id, sum(n)::BIGINT AS n_values, round(sum(v), 4) AS total FROM (
  SELECT run_id, count(*) AS n, sum(w) / sqrt(sum(w * w)) AS v FROM run_weights GROUP BY run_id
  UNION ALL SELECT run_id, count(*), sum(value) FROM long_features WHERE value <> 0 GROUP BY run_id) GROUP BY run_id""",
-    "model_roundtrip": "SELECT run_id, true AS same FROM runs",
-    "train_model": "SELECT label, 200::BIGINT AS n_trees, true AS sound FROM runs GROUP BY label",
-    "cv_score": "SELECT unnest(range(5))::BIGINT AS fold, true AS good, true AS good_mean, true AS steady",
-    "predict_top5": """SELECT run_id, least(5, (SELECT count(DISTINCT label) FROM runs))::BIGINT AS n_classes, true AS ranked, true AS sums_to_one FROM runs""",
+    "model_roundtrip": "SELECT run_id, label, true AS same FROM runs",
+    "train_model": f"""SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_idx, least({SAMPLE_PER_LABEL}, count(*)) AS n_sample,
+ least({SAMPLE_PER_LABEL}, count(*)) AS n_right, 200::BIGINT AS n_trees FROM runs GROUP BY label""",
+    "cv_score": f"""SELECT fold, count(*) AS n_runs, true AS mostly_right, true AS good, true AS good_mean, true AS steady FROM (
+ SELECT (row_number() OVER (PARTITION BY label ORDER BY {_HASH42}) - 1) % 5 AS fold FROM runs) GROUP BY fold""",
+    "cv_group_folds": """SELECT filename, label, n_copies, 1::BIGINT AS n_folds,
+ (row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', filename))) - 1) % 5 AS fold FROM (
+ SELECT concat('synthetic_', cast(run_id AS VARCHAR)) AS filename, label, 1::BIGINT AS n_copies FROM runs
+ UNION ALL SELECT filename, min(label), 4 * count(*) FROM scanned GROUP BY filename)""",
+    "predict_top5": """SELECT run_id, label AS first, least(5, (SELECT count(DISTINCT label) FROM runs))::BIGINT AS n_classes, true AS ranked, true AS sums_to_one FROM runs""",
     "predict_batch": "SELECT run_id, label, true AS sound FROM runs",
-    "explain": "SELECT run_id, 'feature_importance' AS explanation_method, true AS explained, true AS sound FROM runs",
+    "explain": "SELECT run_id, label, 'feature_importance' AS explanation_method, true AS explained, true AS sound FROM runs",
     "model_diagnosis": """SELECT run_id, p.label AS predicted, CASE WHEN p.label = 'clean' THEN 'pass' WHEN severity IN ('critical', 'high') THEN 'fail' ELSE 'warn' END AS verdict,
  c.label, severity, icon, cause, fix, command FROM runs p LEFT JOIN catalog c ON p.label = c.id""",
-    "model_alternatives": "SELECT run_id, true AS sound FROM runs",
+    "model_alternatives": "SELECT run_id, label AS predicted, true AS sound FROM runs",
     "training_report": f"""SELECT class, CASE WHEN class <> 'accuracy' THEN 1.0 END::DOUBLE AS precision, CASE WHEN class <> 'accuracy' THEN 1.0 END::DOUBLE AS recall,
  1.0::DOUBLE AS f1, support FROM (SELECT label AS class, least({SAMPLE_PER_LABEL}, count(*))::BIGINT AS support FROM runs GROUP BY label
  UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), sum(n)::BIGINT FROM (SELECT least({SAMPLE_PER_LABEL}, count(*)) AS n FROM runs GROUP BY label))""",

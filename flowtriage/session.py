@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: str | int = "*", app: str = "flowtriage", memory: str = "16g") -> SparkSession:
@@ -40,3 +42,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def stored(df: DataFrame, schema: StructType | None = None, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, split by column ``by`` if named.
+
+    It is computed once and a lost executor re-reads it.  ``schema`` may give
+    its structs the vector type they stand for.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
+    reader = df.sparkSession.read
+    return (reader if schema is None else reader.schema(schema)).parquet(path)
