@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_COPY = 1_000_000
+# At most so many hot keys are split, the hottest ones; any other holds less than this share of all rows.
+MOST_HOT_KEYS = 1 << 16
 _NULL_SALTS = 4096
 
 
@@ -22,8 +24,8 @@ def lookup(
     A key held by more than ``rows_per_copy`` rows is split: its rows are dealt
     out by the hash of ``salt_by``, and its one row on the right is copied to
     each part.  Other keys keep one copy.  Rows without a key match nothing and
-    are spread out.  The hot keys are broadcast: there is at most one for every
-    ``rows_per_copy`` rows of the left side.  ``keys`` may name a cheaper
+    are spread out.  The list of hot keys is broadcast and has at most
+    ``MOST_HOT_KEYS`` entries, the hottest.  ``keys`` may name a cheaper
     DataFrame with the same keys to count them in.
     """
     hot = F.broadcast(
@@ -31,6 +33,8 @@ def lookup(
         .groupBy(key)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > rows_per_copy)
+        .orderBy(F.desc("_n"))
+        .limit(MOST_HOT_KEYS)
         .select(key, F.ceil(F.col("_n") / rows_per_copy).cast("int").alias("_copies"))
     )
     parts = F.coalesce("_copies", F.lit(1))

@@ -60,6 +60,11 @@ def hits(column: str, pattern: str) -> str:
     return f"({gate})" if is_literal else f"({gate} AND {full})"
 
 
+def gate(pattern: str) -> str:
+    """The longest string that any folded text matching the pattern must hold; empty if none is known."""
+    return max(_required_literals(pattern), key=len, default="")
+
+
 def hits_any(column: str, patterns) -> str:
     return "(" + " OR ".join(hits(column, p) for p in patterns) + ")"
 

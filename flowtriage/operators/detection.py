@@ -81,6 +81,29 @@ def detections(runs: DataFrame, catalog: list[Category] = CATEGORIES) -> DataFra
     )
 
 
+def gated_regexes(regexes: DataFrame) -> DataFrame:
+    """Rows of ``regexes`` (id, regex) as they are searched for: id, gate and pattern for folded texts.
+
+    The gate is the longest string that each match must hold, empty where there is none.
+    """
+    rows = regexes.select("id", "regex").distinct().collect()  # a catalogue, see dimensions.MOST_REGEXES
+    gates = [(r["id"], rx.gate(r["regex"]), rx.folded_regex(r["regex"])) for r in rows]
+    return regexes.sparkSession.createDataFrame(gates, "id string, gate string, pattern string")
+
+
+def counts_by_table(runs: DataFrame, regexes: DataFrame) -> DataFrame:
+    """(run_id, id, match_count) as of :func:`with_counts`, for a catalogue that is only known as a table.
+
+    ``regexes`` holds id and regex, one row each.  Texts are held against the
+    gates of all regexes first; only where a gate is found is its regex tried.
+    Texts stay where they are and only matches are counted by run.
+    """
+    folded = runs.select("run_id", rx.fold(F.col("text")).alias("_folded"))
+    gates = F.broadcast(gated_regexes(regexes))
+    found = folded.join(gates, F.contains("_folded", "gate")).where(F.expr("_folded RLIKE pattern"))
+    return found.groupBy("run_id", "id").agg(F.count("*").alias("match_count"))
+
+
 def enriched(detected: DataFrame, categories: DataFrame) -> DataFrame:
     """Attach the catalogue's long texts; unknown ids keep NULLs."""
     texts = categories.select("id", "cause", "fix", "command")

@@ -25,7 +25,6 @@ from flowtriage.functions.catalog import (
     ENGINES,
     EXECUTOR_REGEX,
     GENOME_REGEX,
-    GENOMES,
     MAX_CPUS_REGEX,
     MAX_MEMORY_REGEX,
     MAX_TIME_REGEX,
@@ -36,6 +35,7 @@ from flowtriage.functions.catalog import (
 from flowtriage.functions.joins import lookup
 from flowtriage.operators import sheets as sheet_ops
 from flowtriage.session import checkpoint_dir
+from flowtriage.sources import dimensions
 
 CHECK_TYPE = "struct<check: string, status: string, severity: string, message: string, details: array<string>>"
 CHECKS_TYPE = f"array<{CHECK_TYPE}>"
@@ -307,21 +307,26 @@ def reference_checks(settings: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def known_genome(field: str, genome: str = "genome") -> Column:
-    """A figure of the first known genome whose name the configured one contains."""
-    at = {"star_gb": 1, "size_gb": 4, "ordinal": None}[field]
-    cases = " ".join(
-        f"WHEN contains(lower({genome}), {sql.string(g[0].lower())}) THEN {float(i if at is None else g[at])!r}D"
-        for i, g in enumerate(GENOMES)
-    )
-    return F.expr(f"CASE {cases} END")
+def with_genome(settings: DataFrame, genomes: DataFrame | None = None) -> DataFrame:
+    """Add ``known_genome``: the first row of ``genomes`` whose name the configured genome contains, or NULL.
+
+    ``genomes`` (ordinal, name and figures) may be any table, so an installation
+    can bring its own.  Each distinct configured name is held against all of
+    them once, and the least ordinal wins, by name where that is equal; configs
+    then look their own name up, however many share it.
+    """
+    genomes = dimensions.genomes(settings.sparkSession) if genomes is None else genomes
+    names = settings.where(F.col("genome").isNotNull()).select("genome").distinct()
+    row = F.struct(*[F.col(c) for c in ("ordinal", "name", *[c for c in genomes.columns if c not in ("ordinal", "name")])])
+    held = names.join(genomes.where(F.col("name") != ""), F.contains(F.lower("genome"), F.lower("name")))
+    first = held.groupBy("genome").agg(F.min(row).alias("known_genome"))
+    return lookup(settings, first, "genome", ["config_id"])
 
 
 def genome_usage(settings: DataFrame, genomes: DataFrame) -> DataFrame:
     """Known genomes with the number of configs that resolve to each."""
-    # Never NULL: a join on a nullable key would filter on it, below the regexes it comes from.
-    resolved = F.coalesce(known_genome("ordinal").cast("int"), F.lit(-1))
-    used = settings.groupBy(resolved.alias("ordinal")).agg(F.count("*").alias("n_configs"))
+    resolved = F.coalesce(F.col("known_genome.ordinal"), F.lit(-1))
+    used = with_genome(settings.select("config_id", "genome"), genomes).groupBy(resolved.alias("ordinal")).agg(F.count("*").alias("n_configs"))
     return genomes.join(used, "ordinal", "left").select(
         F.col("ordinal").cast("bigint").alias("ordinal"), "name", "star_gb", "bwa_gb", "hisat2_gb", "size_gb",
         F.coalesce("n_configs", F.lit(0)).alias("n_configs"),
@@ -349,12 +354,12 @@ def memory_genome_check() -> str:
 
 
 def with_disk_need(frame: DataFrame) -> DataFrame:
-    """Add the estimated need, its sample count and the folder of each case."""
+    """Add the estimated need, its sample count and the folder of each case; ``frame`` has ``genome_size_gb``."""
     sized = frame.withColumns(
         {
             "disk_samples": F.coalesce("n_samples", F.lit(0).cast("bigint")),
             "disk_dir": F.expr("coalesce(nullif(work_dir, ''), nullif(outdir, ''), '.')"),
-            "_size": F.coalesce(known_genome("size_gb"), F.lit(DEFAULT_GENOME_SIZE_GB)),
+            "_size": F.coalesce("genome_size_gb", F.lit(DEFAULT_GENOME_SIZE_GB)),
         }
     )
     need = F.bround(F.col("disk_samples") * DISK_PER_SAMPLE_GB + F.col("_size") * 2, 1)
@@ -432,10 +437,11 @@ def sample_side(sheets: DataFrame) -> DataFrame:
     )
 
 
-def config_side(configs: DataFrame, manifest: DataFrame) -> DataFrame:
+def config_side(configs: DataFrame, manifest: DataFrame, genomes: DataFrame | None = None) -> DataFrame:
     """Per config: whether it holds text, its settings and its checks."""
     given = configs.withColumn("config_given", F.length("text") > 0)
-    side = with_star_gb(_settings(given, F.col("config_given"), brace_balance(F.col("text")).alias("balance"))).withColumns(
+    settings = _settings(given, F.col("config_given"), brace_balance(F.col("text")).alias("balance"))
+    side = with_genome_figures(settings, genomes).withColumns(
         {
             "config_checks": check_array(brace_check(), memory_check(), cpu_check(), engine_check()),
             "genome_checks": check_array(memory_genome_check()),
@@ -444,8 +450,10 @@ def config_side(configs: DataFrame, manifest: DataFrame) -> DataFrame:
     return side.drop("balance", "star_gb").join(reference_checks(side, manifest), "config_id", "left")
 
 
-def with_star_gb(settings: DataFrame) -> DataFrame:
-    return settings.withColumn("star_gb", known_genome("star_gb"))
+def with_genome_figures(settings: DataFrame, genomes: DataFrame | None = None) -> DataFrame:
+    """Add ``star_gb`` and ``genome_size_gb`` of the configured genome."""
+    known = with_genome(settings, genomes)
+    return known.withColumns({"star_gb": F.col("known_genome.star_gb"), "genome_size_gb": F.col("known_genome.size_gb")}).drop("known_genome")
 
 
 def host_side(hosts: DataFrame, host_tools: DataFrame) -> DataFrame:
@@ -517,12 +525,17 @@ def report(frame: DataFrame) -> DataFrame:
 
 
 def run(
-    cases: DataFrame, sheets: DataFrame, configs: DataFrame, manifest: DataFrame, hosts: DataFrame, host_tools: DataFrame
+    cases: DataFrame,
+    sheets: DataFrame,
+    configs: DataFrame,
+    manifest: DataFrame,
+    hosts: DataFrame,
+    host_tools: DataFrame,
+    genomes: DataFrame | None = None,
 ) -> DataFrame:
-    """All checks of all cases; see :func:`report`."""
-    return report(
-        case_frame(cases, sheet_side(sheets, manifest), config_side(configs, manifest), host_side(hosts, host_tools))
-    )
+    """All checks of all cases, against the known or the given ``genomes``; see :func:`report`."""
+    config = config_side(configs, manifest, genomes)
+    return report(case_frame(cases, sheet_side(sheets, manifest), config, host_side(hosts, host_tools)))
 
 
 def all_checks(reports: DataFrame) -> DataFrame:

@@ -347,10 +347,14 @@ SELECTS: dict[str, str] = {
     "genome_catalog": """SELECT ordinal::BIGINT AS ordinal, name, star_gb::DOUBLE AS star_gb, bwa_gb::DOUBLE AS bwa_gb, hisat2_gb::DOUBLE AS hisat2_gb,
  size_gb::DOUBLE AS size_gb, (SELECT count(*) FROM first_genome f WHERE f.name = g.name) AS n_configs FROM genomes g""",
     "corpus_index": """SELECT concat(label, '_', lpad(cast(n AS VARCHAR), greatest(4, length(cast(n AS VARCHAR)))::INTEGER, '0'), '.log') AS filename, label, pipeline, executor FROM (
+ SELECT *, row_number() OVER (ORDER BY md5(cast(run_id AS VARCHAR))) - 1 AS n FROM runs)""",
+    "corpus_roundtrip": """SELECT concat(label, '_', lpad(cast(n AS VARCHAR), greatest(4, length(cast(n AS VARCHAR)))::INTEGER, '0'), '.log') AS filename, label,
+ coalesce(pipeline, '') AS pipeline, 'real' AS source, length(text) AS n_chars, md5(text) AS digest FROM (
  SELECT *, row_number() OVER (ORDER BY md5(cast(run_id AS VARCHAR))) - 1 AS n FROM runs)""",
     "log_lines": f"SELECT run_id, line_num, {strip('line')} AS text FROM lines",
     "detect_counts": "SELECT run_id, id, match_count FROM detected",
     "matched_lines": "SELECT d.run_id, d.id, line_num, text FROM detected d LEFT JOIN matched m ON d.run_id = m.run_id AND d.id = m.id",
+    "detect_counts_table": "SELECT run_id, id, match_count FROM detected",
     "detect_confidence": "SELECT run_id, id, round(confidence, 6) AS confidence FROM detected",
     "detect_enriched": "SELECT run_id, id, label, severity, icon, cause, fix, command, match_count FROM ranked",
     "detect_ranked": "SELECT run_id, id, rank FROM ranked",

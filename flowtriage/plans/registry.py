@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -111,6 +112,15 @@ def corpus_index(spark, sf):
     return files.corpus_index(_runs(spark, sf)).select("filename", "label", "pipeline", "executor")
 
 
+@query
+def corpus_roundtrip(spark, sf):
+    """The corpus written by label with its index, and read back through the labelled scan."""
+    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    files.save_corpus(_runs(spark, sf), folder)
+    back = files.read_corpus(spark, folder)
+    return back.select("filename", "label", "pipeline", "source", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query
 def model_roundtrip(spark, sf):
     """Labels of the model as published and loaded again, and whether they and the confidence are those of the original."""
@@ -137,6 +147,13 @@ def detect_counts(spark, sf):
     return detection.detections(_runs(spark, sf)).select("run_id", "id", "match_count")
 
 
+@query
+def detect_counts_table(spark, sf):
+    """The counts with the catalogue as a table of regexes instead of expressions."""
+    counted = detection.counts_by_table(_runs(spark, sf), dimensions.regexes(spark))
+    return counted.select("run_id", "id", "match_count")
+
+
 @query
 def matched_lines(spark, sf):
     return detection.matched_lines(_runs(spark, sf)).select("run_id", "id", F.explode_outer("matched").alias("m")).select(
@@ -657,7 +674,7 @@ def pf_references(spark, sf):
 
 @query
 def pf_memory_genome(spark, sf):
-    return _config_check(preflight.with_star_gb(_settings(spark, sf)), preflight.memory_genome_check())
+    return _config_check(preflight.with_genome_figures(_settings(spark, sf)), preflight.memory_genome_check())
 
 
 def _case_checks(frame: DataFrame, checks: Column) -> DataFrame:
@@ -667,8 +684,8 @@ def _case_checks(frame: DataFrame, checks: Column) -> DataFrame:
 @query
 def pf_disk(spark, sf):
     frame = preflight.case_frame(
-        corpus(spark, sf, "cases"), preflight.sample_side(corpus(spark, sf, "sheets")), _settings(spark, sf),
-        corpus(spark, sf, "hosts"),
+        corpus(spark, sf, "cases"), preflight.sample_side(corpus(spark, sf, "sheets")),
+        preflight.with_genome_figures(_settings(spark, sf)), corpus(spark, sf, "hosts"),
     )
     return _case_checks(preflight.with_disk_need(frame), preflight.check_array(preflight.disk_check()))
 

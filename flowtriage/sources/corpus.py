@@ -112,12 +112,13 @@ UNION ALL SELECT concat('/ref/', cast(p_partkey as string), '.fa'), p_partkey *
 UNION ALL SELECT concat('/ref/', cast(p_partkey as string), '.gtf'), p_partkey * 1000 FROM {part} WHERE p_partkey % 7 <> 0"""
 
 # A case names a sheet, a config and a host by key.  Negative keys are in no
-# other table, like a request for a file that does not exist.
+# other table, like a request for a file that does not exist.  Cases are dealt
+# to all hosts, and one number beyond them names none.
 CASES_SQL = """
 SELECT c_custkey AS case_id,
  CASE WHEN c_custkey % 12 = 0 THEN NULL WHEN c_custkey % 50 = 1 THEN -1 - c_custkey ELSE c_custkey END AS sheet_id,
  CASE WHEN c_custkey % 8 = 0 THEN NULL WHEN c_custkey % 50 = 3 THEN -1 - c_custkey ELSE c_custkey END AS config_id,
- CAST(c_nationkey AS bigint) AS host_id,
+ CAST(c_custkey % (1 + (SELECT count(*) FROM {supplier})) AS bigint) AS host_id,
  CASE WHEN c_custkey % 7 = 0 THEN '/scratch' ELSE NULL END AS work_dir
 FROM {customer}"""
 
@@ -142,7 +143,7 @@ CORPORA = {  # name: (SQL, keys of the tables it reads)
     "sheets": (SHEETS_SQL, {"customer": "c_custkey"}),
     "configs": (CONFIGS_SQL, {"part": "p_partkey"}),
     "manifest": (MANIFEST_SQL, {"orders": "o_orderkey", "part": "p_partkey"}),
-    "cases": (CASES_SQL, {"customer": "c_custkey"}),
+    "cases": (CASES_SQL, {"customer": "c_custkey", "supplier": "s_suppkey"}),
     "hosts": (HOSTS_SQL, {"supplier": "s_suppkey"}),
     "host_tools": (HOST_TOOLS_SQL, {"supplier": "s_suppkey"}),
     "label_index": (LABEL_INDEX_SQL, {"orders": "o_orderkey"}),

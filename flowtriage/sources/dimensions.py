@@ -24,6 +24,24 @@ def categories(spark: SparkSession, catalog: list[Category] = CATEGORIES) -> Dat
     )
 
 
+MOST_REGEXES = 100_000
+
+
+def catalog_of(categories: DataFrame) -> list[Category]:
+    """The catalogue that a table like that of :func:`categories` holds, for the operators that take one.
+
+    So failure categories can be added as data.  Rows are ordered by ordinal,
+    then id; missing texts are empty.  A catalogue is small by nature; one of
+    more than ``MOST_REGEXES`` regexes is refused.
+    """
+    n = categories.agg(F.sum(F.size("regexes"))).first()[0] or 0
+    if n > MOST_REGEXES:
+        raise ValueError(f"a catalogue of {n} regexes")
+    names = ("label", "family", "severity", "icon", "cause", "fix", "command")
+    rows = categories.orderBy("ordinal", "id").collect()
+    return [Category(r["id"], *[r[c] or "" for c in names], tuple(r["regexes"] or ())) for r in rows]
+
+
 def regexes(spark: SparkSession, catalog: list[Category] = CATEGORIES) -> DataFrame:
     """One row per regex."""
     return categories(spark, catalog).select(

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtriage.functions.joins import lookup
 from flowtriage.functions.ranking import hash_position
 
 INDEX_SCHEMA = "filename string, label string, pipeline string, executor string"
 LOG_SUFFIXES = (".log", ".txt")
+_MALFORMED = "_malformed"
 
 
 def ingest_logs(files: DataFrame) -> DataFrame:
@@ -28,13 +30,33 @@ def read_logs(spark: SparkSession, folder: str) -> DataFrame:
     return ingest_logs(spark.read.format("binaryFile").option("pathGlobFilter", "*.{log,txt}").load(folder))
 
 
+def _index_lines(spark: SparkSession, path: str) -> DataFrame:
+    schema = f"{INDEX_SCHEMA}, {_MALFORMED} string"
+    return spark.read.csv(path, header=True, schema=schema, columnNameOfCorruptRecord=_MALFORMED, enforceSchema=True)
+
+
 def read_label_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=INDEX_SCHEMA)
+    """The rows of an index file or folder that have all columns and a file name."""
+    rows = _index_lines(spark, path)
+    return rows.where(F.col(_MALFORMED).isNull() & F.col("filename").isNotNull()).drop(_MALFORMED)
+
+
+def malformed_index_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of an index that :func:`read_label_index` leaves out."""
+    rows = _index_lines(spark, path)
+    whole = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in ("filename", "label", "pipeline", "executor")])
+    return rows.where(F.col(_MALFORMED).isNotNull() | F.col("filename").isNull()).select(F.coalesce(_MALFORMED, whole).alias("line"))
 
 
 def labelled_logs(index: DataFrame, logs: DataFrame) -> DataFrame:
-    """Index rows whose file exists, with its text; others are dropped."""
-    return index.join(logs, "filename").select(
+    """Index rows whose file exists, with its text; others are dropped.
+
+    A file that very many index rows name is dealt out with copies of its text
+    (:func:`flowtriage.functions.joins.lookup`), so no task holds all its rows.
+    """
+    numbered = index.withColumn("_row", F.monotonically_increasing_id())
+    found = lookup(numbered, logs.select("filename", "text"), "filename", ["_row"], keys=index.select("filename"))
+    return found.where(F.col("text").isNotNull()).select(
         "filename", "text", "label", F.coalesce("pipeline", F.lit("")).alias("pipeline"), F.lit("real").alias("source")
     )
 

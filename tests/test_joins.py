@@ -17,6 +17,17 @@ def test_lookup_with_hot_and_missing_keys_equals_a_left_join(spark):
         assert sorted(got, key=lambda r: r.id) == sorted(expected, key=lambda r: r.id)
 
 
+def test_list_of_hot_keys_is_bounded(spark, monkeypatch):
+    """At most two hot keys are split, and the result stays a left join."""
+    from flowtriage.functions import joins
+
+    monkeypatch.setattr(joins, "MOST_HOT_KEYS", 2)
+    left = spark.range(1000).select("id", (F.col("id") % 10).alias("key"))
+    right = spark.range(10).select(F.col("id").alias("key"), (F.col("id") * 2).alias("fact"))
+    got = lookup(left, right, "key", ["id"], 10).collect()
+    assert len(got) == 1000 and all(r.fact == 2 * r.key for r in got)
+
+
 def test_hot_key_rows_are_spread(spark):
     left = spark.range(1000).select("id", F.lit(1).cast("bigint").alias("key"))
     right = spark.createDataFrame([(1, "x")], "key bigint, fact string")

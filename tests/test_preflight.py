@@ -123,9 +123,25 @@ def test_fastq_details_are_first_ten_in_sheet_order(spark, sheets):
 
 
 def test_first_known_genome_wins(spark):
-    df = spark.createDataFrame([("custom_mm10_hg38",), ("GRCm39",), ("none",), (None,)], "genome string")
-    got = [r[0] for r in df.select(ops.known_genome("ordinal")).collect()]
-    assert got == [2.0, 4.0, None, None]
+    names = ["custom_mm10_hg38", "GRCm39", "none", None, "GRCm39", ""]
+    df = spark.createDataFrame(list(enumerate(names)), "config_id bigint, genome string")
+    got = {r.config_id: r.known_genome and r.known_genome.ordinal for r in ops.with_genome(df).collect()}
+    assert got == {0: 2, 1: 4, 2: None, 3: None, 4: 4, 5: None}
+
+
+def test_genomes_of_a_table(spark, configs):
+    """A genome of one's own, matched by the least ordinal, then name; nothing of the built-in list."""
+    columns = "ordinal int, name string, star_gb double, bwa_gb double, hisat2_gb double, size_gb double"
+    own = [(7, "Axolotl", 300.0, 1.0, 1.0, 32.0), (7, "Axo", 12.0, 1.0, 1.0, 3.0), (2, "lotl", 100.0, 1.0, 1.0, 9.0), (1, "", 1.0, 1.0, 1.0, 1.0), (0, None, 1.0, 1.0, 1.0, 1.0)]
+    table = spark.createDataFrame(own, columns)
+    df = spark.createDataFrame([(1, "AXOLOTL_v2"), (2, "axon"), (3, "GRCh38")], "config_id bigint, genome string")
+    got = {r.config_id: (r.star_gb, r.genome_size_gb) for r in ops.with_genome_figures(df, table).collect()}
+    assert got == {1: (100.0, 9.0), 2: (12.0, 3.0), 3: (None, None)}
+    settings = ops.config_settings(configs("params { genome = 'axon' \n max_memory = '8.GB' }"))
+    row = ops.with_genome_figures(settings, table).select(F.expr(ops.memory_genome_check()).alias("c")).first().c
+    assert row.status == "fail" and "~12 GB" in row.message
+    used = {r.name: r.n_configs for r in ops.genome_usage(df, table.where("name != ''")).collect()}
+    assert used["lotl"] == 1
 
 
 def test_number_text(spark):

@@ -28,6 +28,21 @@ def test_labelled_scan_drops_absent_files(spark, tmp_path):
     }
 
 
+def test_malformed_index_lines_are_kept_apart(spark, tmp_path):
+    index = tmp_path / "labels.csv"
+    index.write_text("filename,label,pipeline,executor\na.log,clean,p,local\nshort.log,clean\nlong.log,clean,p,local,extra\n,clean,p,local\nb.log,clean,,\n")
+    assert sorted(r.filename for r in files.read_label_index(spark, str(index)).collect()) == ["a.log", "b.log"]
+    bad = sorted(r.line for r in files.malformed_index_lines(spark, str(index)).collect())
+    assert bad == [",clean,p,local", "long.log,clean,p,local,extra", "short.log,clean"]
+
+
+def test_repeated_index_names_each_get_the_text(spark):
+    index = spark.range(500).select(F.when(F.col("id") < 400, "hot.log").otherwise("gone.log").alias("filename"), F.lit("clean").alias("label"), F.lit(None).cast("string").alias("pipeline"))
+    logs = spark.createDataFrame([("hot.log", "x"), ("other.log", "y")], "filename string, text string")
+    got = files.labelled_logs(index, logs).collect()
+    assert len(got) == 400 and {(r.filename, r.text, r.pipeline) for r in got} == {("hot.log", "x", "")}
+
+
 def test_corpus_write_and_read_back(spark, tmp_path):
     items = spark.range(25).select(
         F.col("id").alias("run_id"), F.concat(F.lit("text\n"), F.col("id")).alias("text"),

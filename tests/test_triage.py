@@ -206,3 +206,19 @@ def test_catalogue_keys_and_extension(spark, runs):
     found = detection.detections(runs("LICENSE server down\nsix O'Clock"), catalog)
     assert [(r.id, r.match_count) for r in found.collect()] == [("licence", 2)]
     assert detection.enriched(found, dimensions.categories(spark, catalog)).first().fix == "fix's"
+
+
+def test_a_seventeenth_category_given_as_a_table(spark, runs):
+    """Detections, features and the relational form follow the table."""
+    built_in = dimensions.categories(spark)
+    own = [(16, "quota", "Quota", "general", "high", "Q", None, "ask", "", ["user quota (exceeded|reached)", "Quota\\s+EXCEEDED"])]
+    table = built_in.unionByName(spark.createDataFrame(own, built_in.schema))
+    catalog = dimensions.catalog_of(table)
+    assert [c.id for c in catalog][-1] == "quota" and len(catalog) == 17
+    df = runs("User quota  exceeded, user QUOTA reached", "all fine", "No space left on device\nENOSPC, quota exceeded")
+    by_row = {(r.run_id, r.id): r.match_count for r in detection.detections(df, catalog).collect()}
+    rows = table.select("id", F.explode("regexes").alias("regex"))
+    by_table = {(r.run_id, r.id): r.match_count for r in detection.counts_by_table(df, rows).collect()}
+    assert by_row == by_table and by_row[0, "quota"] == 2 and (2, "quota") in by_row and not any(k[0] == 1 for k in by_row)
+    assert "regex_quota" in features.features(df, catalog).columns
+    assert classification.classify(df, catalog).where("run_id = 0").first().primary.id == "quota"
