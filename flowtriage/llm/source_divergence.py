@@ -27,7 +27,7 @@ _OUT_ROWS = 1 << 16
 _CELLS = 1 << 22
 _SMALL_GROUPS = 1 << 20
 
-_PARTIAL = "lang string, chunk binary, n_docs int, base bigint, docs array<int>, sources array<string>, counts array<int>"
+_PARTIAL = "lang string, chunk binary, n_docs int, base bigint, docs binary, sources array<string>, counts binary"
 _FACTOR = "lang string, terms array<binary>, times array<bigint>, n_docs bigint, docs array<bigint>, sources array<string>, counts array<bigint>"
 _LISTS = {"docs": pa.int64(), "sources": pa.string(), "counts": pa.int64()}
 
@@ -38,6 +38,22 @@ def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Lists of 32-bit numbers as bytes, which take less room in a shuffled row than arrays."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(4 * sizes, out=offsets[1:])
+    data = np.ascontiguousarray(values, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and list sizes of ``_packed``."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw.copy().view(np.int32), np.diff(offsets) // 4
+
+
 def _sizes(starts: np.ndarray, end: int) -> np.ndarray:
     return np.diff(np.append(starts, end))
 
@@ -74,15 +90,12 @@ def _counted(rows: list[tuple], min_docs: int) -> Iterator[pa.RecordBatch]:
             "chunk": pa.array(words, pa.binary()).take(pa.array(word[entry])),
             "n_docs": pa.array(n_docs, pa.int32()),
             "base": pa.array(np.full(len(entry), base)),
-            "docs": _lists(pa.array((number[doc[listed]] - base).astype(np.int32)), np.where(n_docs < min_docs, n_docs, 0)),
+            "docs": _packed(number[doc[listed]] - base, np.where(n_docs < min_docs, n_docs, 0)),
             "sources": _lists(
                 pa.array(sources, pa.string()).take(pa.array(source[doc[by_source]])),
                 _sizes(np.searchsorted(by_source, entry), len(by_source)),
             ),
-            "counts": _lists(
-                pa.array(np.add.reduceat(times, by_source).astype(np.int32)),
-                _sizes(np.searchsorted(by_source, entry), len(by_source)),
-            ),
+            "counts": _packed(np.add.reduceat(times, by_source), _sizes(np.searchsorted(by_source, entry), len(by_source))),
         }
     )
     for at in range(0, batch.num_rows, _OUT_ROWS):
@@ -113,12 +126,11 @@ def _count_chunks(min_docs: int):
 
 def _numbered(batch: pa.RecordBatch) -> pa.Table:
     """Rows with the documents' own numbers, which travel as small distances from the first of their task."""
-    base, docs = batch.column("base").to_numpy(), batch.column("docs")
-    sizes = pc.list_value_length(docs).to_numpy()
+    (docs, listed), (counts, used) = _unpacked(batch.column("docs")), _unpacked(batch.column("counts"))
     columns = {c: batch.column(c) for c in ("lang", "chunk", "sources")}
     columns["n_docs"] = batch.column("n_docs").cast(pa.int64())
-    columns["docs"] = _lists(pa.array(np.repeat(base, sizes) + docs.flatten().to_numpy()), sizes)
-    columns["counts"] = batch.column("counts").cast(pa.list_(pa.int64()))
+    columns["docs"] = _lists(pa.array(np.repeat(batch.column("base").to_numpy(), listed) + docs), listed)
+    columns["counts"] = _lists(pa.array(counts.astype(np.int64)), used)
     return pa.table(columns)
 
 
