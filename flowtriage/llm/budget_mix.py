@@ -14,12 +14,16 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowtriage.llm.common import cut, set_aside
 from flowtriage.llm.running import key, running, shuffle_key
 
 LEVELS = ("domain", "lang", "source")
 SEED = 29
 MAX_EPOCHS = 4
 BUDGET_PERCENT = 80
+# Parts of a leaf when its plan is too large to be broadcast.
+PARTS = 64
+MOST_BROADCAST = 100_000
 # Production weights; names that are not listed weigh 1.
 WEIGHTS = {
     "domain": {"crawl": 4, "books": 3, "code": 2, "news": 3},
@@ -104,6 +108,16 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget_percen
     return allotted.select(*names, "tokens", F.col("_allotted").alias("allotted"))
 
 
+def _planned(rows: DataFrame, plan: DataFrame, names: list[str]) -> DataFrame:
+    """Join the plan, which has one row a leaf, without gathering the rows of a leaf."""
+    plan = cut(plan)
+    if plan.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(plan), names)
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)).cast("int"))
+    copies = plan.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return dealt.hint("merge").join(copies, [*names, "_part"]).drop("_part")
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, dict[str, int]] = WEIGHTS,
@@ -118,6 +132,10 @@ def mix(
     it gives the rows of a shuffle seeded by epoch whose running token count
     stays within the rest, so no leaf exceeds its budget.
 
+    No leaf is gathered in a task: the plan, a row a leaf, is broadcast if it
+    is counted to be small, else each leaf is dealt out over ``PARTS`` copies
+    of its row; ranks are taken by leaf and bucket.
+
     Keeps all columns of ``docs`` and adds domain, epoch (from 0) and n_tokens;
     columns with these names are replaced.  Null languages and sources are
     nodes of their own; null and empty texts have no tokens and come along
@@ -126,6 +144,7 @@ def mix(
     """
     if max_epochs < 1 or budget_percent < 0:
         raise ValueError("there must be an epoch, and no negative budget")
+    docs, named_back = set_aside(docs, ("doc_id", "text", "lang", "source"), ("domain", "epoch", "n_tokens"))
     rows = docs.withColumns({"domain": domain_of(F.col("source")), "n_tokens": token_count(F.col("text"))})
     names = [f"_{level}" for level in LEVELS]
     rows = rows.withColumns({f"_{level}": key(level) for level in LEVELS})
@@ -135,7 +154,7 @@ def mix(
         F.expr("if(tokens > 0, allotted div tokens, 0)").alias("_whole"),
         F.expr("if(tokens > 0, allotted % tokens, 0)").alias("_rest"),
     )
-    keyed = rows.join(plan.where("_whole > 0 OR _rest > 0"), names)
+    keyed = _planned(rows, plan.where("_whole > 0 OR _rest > 0"), names)
     keyed = keyed.withColumn("_order", shuffle_key(seed, F.col("_whole"), F.col("doc_id")))
     keyed = keyed.withColumn("_bucket", F.substring("_order", 1, 3))
     summed = running(keyed, names, "_bucket", ["_order", "n_tokens"], "n_tokens", "_before", "_tokens")
@@ -143,4 +162,4 @@ def mix(
     times = (F.col("_whole") + F.when(drawn, 1).otherwise(0)).cast("int")
     chosen = summed.withColumn("_times", times).where("_times > 0")
     epochs = chosen.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    return epochs.drop(*names, "_whole", "_rest", "_order", "_bucket", "_before", "_tokens", "_times")
+    return epochs.select(*named_back, "domain", "n_tokens", "epoch")

@@ -102,3 +102,15 @@ def within_bytes(df: DataFrame, most: int = 64 << 20) -> DataFrame:
     texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
     size = df.agg(F.sum(sum(texts, F.lit(16))).alias("size")).first()["size"] or 0
     return F.broadcast(df) if size <= most else df
+
+
+def set_aside(df: DataFrame, needed: tuple[str, ...], replaced: tuple[str, ...] = ()) -> tuple[DataFrame, list]:
+    """``df`` with its other columns under names that no helper column has, and the columns that name them back.
+
+    ``needed`` columns keep their names.  Columns named in ``replaced`` are left out.
+    """
+    kept = [c for c in df.columns if c in needed or c.lower() not in {r.lower() for r in replaced}]
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in kept}
+    away = {c: c if c in needed else f"aside {i}" for i, c in enumerate(kept)}
+    renamed = df.select(*[F.col(quoted[c]).alias(away[c]) for c in kept])
+    return renamed, [F.col(f"`{away[c]}`").alias(c) for c in kept]

@@ -23,7 +23,8 @@ def running(df: DataFrame, by: list[str], bucket: str, order: list[str], value:
     Rows of a group are ordered by ``bucket`` and then by ``order``.  No group
     is sorted in one task: only a bucket is, and buckets are shifted by the
     sums of those before them.  There are as many bucket sums as buckets, not
-    rows.  Buckets are spread by hash whatever the sizes of the groups are.
+    rows.  Rows are dealt out by group and bucket, so that no coarser
+    partitioning of the input keeps a large group in one task.
     """
     earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     sums = (
@@ -39,7 +40,8 @@ def running(df: DataFrame, by: list[str], bucket: str, order: list[str], value:
     within = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = F.coalesce(F.sum(value).over(within), F.lit(0))
     return (
-        df.withColumn("_inner", inner)
+        df.repartition(*by, bucket)
+        .withColumn("_inner", inner)
         .join(sums, [*by, bucket])
         .withColumn(before, (F.col("_inner") + F.col("_shift")).cast("bigint"))
         .drop("_inner", "_shift")
