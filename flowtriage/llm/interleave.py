@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowtriage.llm.common import set_aside
 from flowtriage.llm.running import key, running, shuffle_key
 
 SHARDS = 40
@@ -42,6 +43,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets:
     """
     if shards < 1 or not 1 <= buckets <= 1 << 20:
         raise ValueError("shards and buckets must be positive, buckets at most 2^20")
+    added = ("size", "text_crc32", "shard", "slot")
+    docs, named_back = set_aside(docs, ("doc_id", "text", "source"), added)
     rows = docs.withColumns({"size": text_bytes(F.col("text")), "text_crc32": text_crc32(F.col("text"))})
     rows = rows.withColumns(
         {"_source": key("source"), "_order": shuffle_key(seed, F.col("doc_id"), F.col("text_crc32")), "_one": F.lit(1)}
@@ -55,5 +58,4 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets:
     dealt = running(placed, ["_all"], "_bucket", ["_at", "_source", *order], "_one", "_place", "_total")
     shard = F.expr(f"(_place * {shards}) div _total")
     slot = F.col("_place") - F.expr(f"(shard * _total + {shards - 1}) div {shards}")
-    extra = ["_source", "_order", "_one", "_bucket", "_rank", "_count", "_at", "_all", "_place", "_total"]
-    return dealt.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("bigint")).drop(*extra)
+    return dealt.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("bigint")).select(*named_back, *added)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
-from flowtriage.llm.common import Remembering, bounded_batches, cut, grams
+from flowtriage.llm.common import Remembering, bounded_batches, cut, grams, set_aside
 from flowtriage.llm.components import bucket_components, components
 from flowtriage.llm.fuzzy_lines import BANDS, banded
 
@@ -208,7 +208,7 @@ def representatives(
     One row per group stays: that of the smallest doc_id, and of several rows
     with that doc_id the one whose text has the least hash.
     """
-    columns = docs.columns
+    docs, named_back = set_aside(docs, ("doc_id", "text"))
     groups = _grouped(docs, max_distance, blocks)
     if widen:
         groups = _widened(docs, groups)
@@ -217,4 +217,4 @@ def representatives(
     own = docs.withColumn("_own", F.xxhash64("text"))
     joined = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_kept")))
     order = Window.partitionBy("doc_id", "_own").orderBy("_own")
-    return joined.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*columns)
+    return joined.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*named_back)

@@ -31,7 +31,9 @@ def odd(documents):
         (5, "other words under the same number, with a mark # and </turn>", "fr", "src1", 44),
         (-6, "é ü \U0001f600 漢字 x y", "fr", "src0", 9),
     )
-    extra = {c: F.lit("x") for c in ("size", "shard", "slot", "component", "node", "bucket", "tokens", "epoch", "domain", "first", "key")}
+    extra = {c: F.lit("x") for c in ("size", "shard", "slot", "component", "node", "bucket", "tokens", "epoch", "domain", "first", "key",
+                                   "_count", "_shift", "_total", "_rest", "_whole", "_kept", "_doc", "_own", "_order", "_bucket",
+                                   "removed", "own", "aside 0", "with.dot")}
     return rows.withColumns(extra)
 
 
