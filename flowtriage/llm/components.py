@@ -47,7 +47,14 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
-def bucket_components(members: DataFrame, verified, sparing: bool = False) -> DataFrame:
+def _across(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``rest`` (bucket, node, component) that share a bucket but no component."""
+    one = rest.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
+    two = rest.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
+    return one.join(two, "bucket").where("a < b AND ca != cb").select("a", "b").distinct()
+
+
+def bucket_components(members: DataFrame, verified, sparing: bool = False, across=_across) -> DataFrame:
     """Components of the links that exist within buckets, without listing all pairs.
 
     ``members`` holds (bucket, node), ``verified`` keeps the true links of
@@ -59,6 +66,9 @@ def bucket_components(members: DataFrame, verified, sparing: bool = False) -> Da
     With ``sparing``, a node is first held against a single one, the smallest
     of all its buckets, and against the others only if that did not connect
     them.  It takes another round of components and saves dear verifications.
+
+    ``across`` lists the pairs of what is left; one that knows which pairs
+    cannot hold may leave those out.
     """
     members = cut(members.select("bucket", "node").distinct())
     least = members.groupBy("bucket").agg(F.min("node").alias("a"))
@@ -78,10 +88,7 @@ def bucket_components(members: DataFrame, verified, sparing: bool = False) -> Da
     )
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     rest = cut(labelled.join(mixed.select("bucket"), "bucket"))
-    one = rest.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = rest.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = one.join(two, "bucket").where("a < b AND ca != cb").select("a", "b").distinct()
-    links = verified(across)
+    links = verified(across(rest))
     names = first.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     other = first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     joined = links.join(names, "a", "left").join(other, "b", "left").select(

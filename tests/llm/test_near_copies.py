@@ -255,3 +255,52 @@ def test_similar_texts_on_odd_and_empty_tables(odd, no_documents):
     kept = simhash.representatives(odd, widen=True)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [-6, 1, 4, 5, 5]
     assert simhash.representatives(no_documents, widen=True).count() == 0
+
+
+def shingles_of(line):
+    return {line[i : i + fuzzy_lines.SHINGLE] for i in range(max(1, len(line) - fuzzy_lines.SHINGLE + 1))}
+
+
+def jaccard(a, b):
+    x, y = shingles_of(a), shingles_of(b)
+    return len(x & y) / len(x | y)
+
+
+def test_sketches_differ_in_no_more_bits_than_the_lines_in_shingles():
+    rng = random.Random(11)
+    lines = ["", "abc", "x" * 50] + [prose(rng, rng.randrange(1, 60)) for _ in range(60)]
+    lines += [changed(rng, line) for line in lines[3:]]
+    counts, words = fuzzy_lines.sketches(lines)
+    for a in range(len(lines)):
+        assert counts[a] == len(shingles_of(lines[a]))
+        for b in range(a):
+            bits = sum(int(x ^ y).bit_count() for x, y in zip(words[a], words[b]))
+            assert bits <= len(shingles_of(lines[a]) ^ shingles_of(lines[b]))
+
+
+@pytest.mark.parametrize("compared", [3, 1000])
+def test_pairs_across_components_keep_every_similar_pair(spark, monkeypatch, compared):
+    monkeypatch.setattr(fuzzy_lines, "MOST_COMPARED", compared)
+    rng = random.Random(12)
+    frame = "the value of sensor {} in hall {} was read at noon and again at night, then stored as {}"
+    lines = list(dict.fromkeys(frame.format(rng.randrange(99), rng.randrange(9), rng.randrange(10**6)) for _ in range(120)))
+    lines += list(dict.fromkeys(changed(rng, line) for line in lines[:30]))
+    counts, words = fuzzy_lines.sketches(lines)
+    signed = words.view("int64")
+    schema = "node bigint, other bigint, line string, n int, " + ", ".join(f"s{i} bigint" for i in range(fuzzy_lines.SKETCH))
+    rows = [(i, i, line, int(counts[i]), *map(int, signed[i])) for i, line in enumerate(lines)]
+    texts = spark.createDataFrame(rows, schema)
+    component = {i: 0 if i in (4, 5) else i for i in range(len(lines))}
+    rest = spark.createDataFrame([(b, i, component[i]) for b in (1, 2) for i in range(len(lines)) if b == 1 or i < 2], "bucket bigint, node bigint, component bigint")
+    got = [(r.a, r.b) for r in fuzzy_lines.across_components(rest, texts).collect()]
+    near = {(a, b) for b in range(len(lines)) for a in range(b) if jaccard(lines[a], lines[b]) >= 0.8 and component[a] != component[b]}
+    assert near and near <= set(got) and len(got) == len(set(got))
+    assert (4, 5) not in got
+
+
+def test_fuzzy_lines_split_a_very_common_line(documents, monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "LINES_PER_COPY", 3)
+    shared = "this very line stands in all of the documents of the table"
+    rows = [(i, f"{shared}\nown line of number {i * 7919} only") for i in range(20)] + [(50, shared + "s")]
+    got = {r.doc_id: r.removed for r in fuzzy_lines.duplicate_lines(documents(*rows)).collect()}
+    assert got == {0: []} | {i: [0] for i in range(1, 20)} | {50: [0]}
