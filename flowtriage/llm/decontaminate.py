@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from flowtriage.llm.common import Remembering, chunks, mix
+from flowtriage.llm.common import Remembering, chunks, cut, grams, mix
 
 SIMILARITY = 0.8
-MIN_WORDS = 5
 TARGET_RECALL = 0.98
 SAMPLED = 3
+# Items that these many walks find too seldom, and all longer than this, are searched by exact pieces instead.
 MOST_WALKS = 256
+WALKED_WORDS = 4096
 BLOCK_CHARS = 4_000_000
 CHUNK_WORDS = 1 << 19
 SLAB = 2048
+SLAB_CELLS = 1 << 22
 SEED = 20240607
 
 LEAKS = ArrayType(
@@ -33,8 +36,21 @@ def normal(word: str) -> str:
     return word.lower() if word.isalnum() else "".join(c for c in word.lower() if c.isalnum())
 
 
+# Scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana and Han.
+_UNSPACED = re.compile(
+    "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+)
+
+
+def raw_words(text: str | None) -> list[str]:
+    """What white space parts; of scripts without spaces every character is a word."""
+    if not text:
+        return []
+    return (text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)).split()
+
+
 def words_of(text: str | None) -> list[str]:
-    return [w for w in map(normal, (text or "").split()) if w]
+    return [w for w in map(normal, raw_words(text)) if w]
 
 
 def edit_distances(items: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -50,16 +66,26 @@ def edit_distances(items: np.ndarray, windows: np.ndarray, lengths: np.ndarray)
     return row[np.arange(pairs), lengths]
 
 
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges lo to hi one after the other, and the size of each range."""
+    count = hi - lo
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count), count
+
+
 class Size:
     """The items of one length: their walks, keys and vocabulary."""
 
     def __init__(self, n: int, limit: int, items: np.ndarray, ids: np.ndarray, codes: np.ndarray, target: float) -> None:
         self.n, self.limit, self.items, self.ids, self.codes = n, limit, items, ids, codes
-        self.walks = self._enough(target)
+        self.slab = max(1, min(SLAB, SLAB_CELLS // n))
         self.most = np.zeros(len(codes), np.int32)
         for item in items:
             np.maximum(self.most, np.bincount(item, minlength=len(codes)), out=self.most)
         self.member = (self.most > 0).astype(np.int32)
+        self.walks = self._enough(target)
+        if not self.walks:
+            self._cut_pieces()
+            return
         keys = self.embed(items.ravel(), np.arange(len(items)) * n, np.full(len(items), n), self.walks)
         flat = keys.T.ravel()
         order = np.argsort(flat, kind="stable")
@@ -105,9 +131,11 @@ class Size:
         return keys
 
     def _enough(self, target: float) -> int:
-        """The walks it takes for edited items at the limit to be found at ``target`` recall."""
+        """The walks it takes for edited items at the limit to be found at ``target`` recall, 0 if ``MOST_WALKS`` do not."""
         if not self.limit:
             return 1
+        if self.n > WALKED_WORDS:
+            return 0
         rng = np.random.default_rng([SEED, self.n, 2])
         copies = []
         for k in range(256):
@@ -127,10 +155,50 @@ class Size:
         while True:
             keys = (self.embed(x, place, length, walks, tried) for x in (own, edited))
             found |= np.equal(*keys).any(axis=0)
-            if walks == MOST_WALKS or found.mean() >= target:
+            if found.mean() >= target:
                 return walks
+            if walks >= MOST_WALKS:
+                return 0
             walks, tried = 2 * walks, walks
 
+    def _cut_pieces(self) -> None:
+        """Cut every item into limit + 1 pieces: ``limit`` edits leave one of them whole.
+
+        Pieces are known by their first ``span`` words, so that all have one length.
+        """
+        self.span = self.n // (self.limit + 1)
+        offset = np.arange(self.limit + 1) * self.n // (self.limit + 1)
+        at = (np.arange(len(self.items))[:, None] * self.n + offset).ravel()
+        keys = grams(self.codes[self.items.ravel()], self.span)[at]
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.owner, self.offset = np.repeat(np.arange(len(self.items)), len(offset))[order], np.tile(offset, len(self.items))[order]
+
+    def pieced(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window, item) that share a piece, moved by no more than ``limit`` words, once each; no pair within the limit is missed."""
+        base = int(starts.min())
+        here = grams(self.codes[symbols[base : int((starts + lengths).max())]], self.span)
+        spots = np.zeros(len(here) + 1, np.int64)
+        whole = lengths >= self.span
+        np.add.at(spots, starts[whole] - base, 1)
+        np.add.at(spots, (starts + lengths)[whole] - base - self.span + 1, -1)
+        place = np.flatnonzero(np.cumsum(spots[:-1]) > 0)
+        lo, hi = (np.searchsorted(self.keys, here[place], side) for side in ("left", "right"))
+        hit, count = _spread(lo, hi)
+        place, item = np.repeat(place, count) + base, self.owner[hit]
+        aligned = place - self.offset[hit]
+        order = np.argsort(aligned, kind="stable")
+        place, item, aligned = place[order], item[order], aligned[order]
+        lo, hi = np.searchsorted(aligned, starts - self.limit, "left"), np.searchsorted(aligned, starts + self.limit, "right")
+        found = [np.empty(0, np.int64)]
+        for a, b in chunks((hi - lo).tolist(), SLAB_CELLS):
+            at, count = _spread(lo[a:b], hi[a:b])
+            window = np.repeat(np.arange(a, b), count)
+            inside = (place[at] >= starts[window]) & (place[at] + self.span <= starts[window] + lengths[window])
+            found.append(np.unique(window[inside] * len(self.items) + item[at[inside]]))
+        pairs = np.concatenate(found)
+        return pairs // len(self.items), pairs % len(self.items)
+
     def plausible(self, cells: np.ndarray) -> np.ndarray:
         """Whether windows (their symbols by row, -1 behind the end) hold enough of the items' words.
 
@@ -145,6 +213,8 @@ class Size:
 
     def candidates(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window, item) that share a key, once each."""
+        if not self.walks:
+            return self.pieced(symbols, starts, lengths)
         keys = self.embed(symbols, starts, lengths, self.walks).ravel()
         window = np.tile(np.arange(len(starts)), self.walks)
         lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
@@ -174,15 +244,15 @@ class Size:
         starts = np.concatenate((starts, first[short]))
         doc = np.concatenate((doc, short))
         column = np.arange(self.n)
-        for at in range(0, len(starts), SLAB):
-            s, d = starts[at : at + SLAB], doc[at : at + SLAB]
+        for at in range(0, len(starts), self.slab):
+            s, d = starts[at : at + self.slab], doc[at : at + self.slab]
             lengths = np.minimum(self.n, end[d] - s)
             cells = np.where(column < lengths[:, None], symbols[np.minimum(s[:, None] + column, len(symbols) - 1)], -1)
             kept = self.plausible(cells)
             s, d, lengths, cells = s[kept], d[kept], lengths[kept], cells[kept]
             window, item = self.candidates(symbols, s, lengths) if len(s) else (s, s)
-            for lo in range(0, len(window), SLAB):
-                w, i = window[lo : lo + SLAB], item[lo : lo + SLAB]
+            for lo in range(0, len(window), self.slab):
+                w, i = window[lo : lo + self.slab], item[lo : lo + self.slab]
                 distance = edit_distances(self.items[i], cells[w], lengths[w])
                 for k in np.flatnonzero(distance <= self.limit):
                     yield int(d[w[k]]), int(self.ids[i[k]]), int(distance[k]), int(s[w[k]] - first[d[w[k]]])
@@ -193,7 +263,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]], similarity: float, target: float) -> None:
         texts = [(i, words_of(text)) for i, text in items]
-        texts = sorted({(i, tuple(w)) for i, w in texts if i is not None and len(w) >= MIN_WORDS})
+        texts = sorted({(i, tuple(w)) for i, w in texts if i is not None and w})
         self.vocabulary: dict[str, int] = {}
         for _, words in texts:
             for word in words:
@@ -217,7 +287,7 @@ class Index:
         for lo, hi in chunks([len(t or "") // 5 + 1 for t in texts], CHUNK_WORDS):
             parts = []
             for text in texts[lo:hi]:
-                part = np.fromiter(map(symbols.__getitem__, (text or "").split()), np.int32)
+                part = np.fromiter(map(symbols.__getitem__, raw_words(text)), np.int32)
                 parts.append(part[part >= 0])
             end = np.cumsum([len(p) for p in parts])
             first, joined = end - [len(p) for p in parts], np.concatenate(parts)
@@ -230,25 +300,27 @@ class Index:
         return out
 
 
-def leak_columns(benchmark: DataFrame, similarity: float = SIMILARITY, target: float = TARGET_RECALL) -> list:
-    """Functions from a text column to its leaks, one for each block of items.
+def leak_columns(benchmark: DataFrame, similarity: float = SIMILARITY, target: float = TARGET_RECALL) -> Iterator[tuple]:
+    """Functions from a text column to its leaks, one for each block of items, and whether it is the only one.
 
     The benchmark is the stated query set.  It is cut by hash into blocks of
-    about ``BLOCK_CHARS`` characters, so that what is sent to the executors
-    is bounded however large the set; every block looks at all texts.
+    about ``BLOCK_CHARS`` characters; every block looks at all texts.  A block
+    of several is gone when the next one is asked for, so what the driver and
+    the executors hold is bounded however large the set: results must be
+    computed before.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + chars // BLOCK_CHARS
-    functions = []
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        index = Index([tuple(r) for r in part], similarity, target)
-        shared = spark.sparkContext.broadcast(cloudpickle.dumps(index))
-
-        functions.append(F.pandas_udf(_lookup(shared), LEAKS))
-    return functions
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(Index([tuple(r) for r in part], similarity, target)))
+        yield F.pandas_udf(_lookup(shared), LEAKS), blocks == 1
+        if blocks > 1:
+            shared.destroy()
 
 
 def _lookup(shared):
@@ -266,24 +338,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
     A document leaks an item of n words if one of its windows of n words (the
     whole document if it is shorter) is within floor((1 - similarity) n) word
-    edits.  Words are compared in lower case by letters and digits only; items
-    under ``MIN_WORDS`` words are no evidence and are left out.  Candidates
-    come from the embedding at ``target`` recall for items edited up to the
-    limit, and every candidate is verified by its exact edit distance.
+    edits; items under five words must be there unchanged at the default.
+    Words are compared in lower case by letters and digits only, and a
+    character of a script without spaces is a word.  Candidates come from the
+    embedding at ``target`` recall for items edited up to the limit.  Items so
+    long that ``MOST_WALKS`` walks do not reach it are cut into one piece more
+    than the limit, of which one must be whole, which misses nothing.  Every
+    candidate is verified by its exact edit distance.
 
     Returns doc_id, item_id, distance (the least), position (its first word).
     Null or empty texts and items leak nothing; repeated rows give repeated
     pairs; an empty table on either side gives no rows.
     """
     out = None
-    for find in leak_columns(benchmark, similarity, target):
+    for find, alone in leak_columns(benchmark, similarity, target):
         rows = docs.select("doc_id", F.explode(find(F.col("text"))).alias("leak")).select("doc_id", "leak.*")
+        rows = rows if alone else cut(rows)
         out = rows if out is None else out.unionAll(rows)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns."""
-    for find in leak_columns(benchmark, similarity):
+    for find, alone in leak_columns(benchmark, similarity):
         docs = docs.where(F.size(find(F.col("text"))) == 0)
+        docs = docs if alone else cut(docs)
     return docs

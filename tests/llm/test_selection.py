@@ -35,7 +35,7 @@ def leaked(rows, items):
         for item, content in items:
             goal = decontaminate.words_of(content)
             n = len(goal)
-            if item is None or n < decontaminate.MIN_WORDS or not words:
+            if item is None or not n or not words:
                 continue
             starts = range(max(1, len(words) - n + 1))
             best = min((edits(goal, words[s : s + n]), s) for s in starts)
@@ -73,6 +73,49 @@ def test_leaks_equal_brute_force(documents, benchmark_items):
     assert exact <= set(found)
 
 
+def test_short_items_and_scripts_without_spaces(documents, benchmark_items):
+    items = [(1, "forty-two"), (2, "Paris, of course"), (3, "one two three four"), (4, "東京は日本の首都であり世界最大の都市圏です"), (5, "ภาษาไทยไม่มีช่องว่าง"), (6, " -- ")]
+    rows = [
+        (1, "the answer is FortyTwo."), (2, "it is paris of course!"), (3, "paris of the course"), (4, "zero one two three four five"), (5, "one two four three"),
+        (6, "これは、東京は日本の首都であり世界最小の都市圏です。はい"), (7, "東京は大きい"), (8, "x ภาษาไทยไม่มีช่องว่าง y"), (9, "-- --"), (10, "4x2"), (11, "東京 は日本の 首都であり世界最大の都市圏です"),
+    ]
+    found = Counter(tuple(r) for r in decontaminate.leaks(documents(*rows), benchmark_items(*items)).collect())
+    assert found == leaked(rows, items)
+    assert {(r[0], r[1]) for r in found} == {(1, 1), (2, 2), (4, 3), (6, 4), (8, 5), (11, 4)}
+
+
+def test_pieces_miss_nothing(documents, benchmark_items, monkeypatch):
+    """Where no number of walks is enough the exact way gives the brute-force rows."""
+    monkeypatch.setattr(decontaminate, "MOST_WALKS", 8)
+    rng = random.Random(7)
+    word = lambda: f"w{min(rng.randrange(60), rng.randrange(60))}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(1, 45)))) for i in range(25)] + [(40, "a " * 30), (41, "a b " * 12)]
+    rows = [(300, "a " * 90), (301, "b a " * 40), (302, "a " * 25), (303, None), (304, "")]
+    for i in range(120):
+        words = [word() for _ in range(rng.randrange(40))]
+        goal = items[rng.randrange(len(items))][1].split()
+        words[rng.randrange(len(words) + 1) : 0] = edited(rng, goal, rng.randrange(0, len(goal) // 5 + 2)) if len(goal) > 4 else goal
+        rows.append((i, " ".join(words)))
+    found = Counter(tuple(r) for r in decontaminate.leaks(documents(*rows), benchmark_items(*items), target=1.1).collect())
+    assert found == leaked(rows, items) and found.total() > 100
+
+
+@pytest.mark.parametrize("n", [300, 1000, 4200])
+def test_long_items_are_found_at_the_limit(n):
+    rng = random.Random(n)
+    items = [(i, " ".join(f"w{min(rng.randrange(3000), rng.randrange(3000))}" for _ in range(n))) for i in range(3)]
+    index = decontaminate.Index(items, 0.8, 0.98)
+    texts, planted = [], set()
+    for k in range(3 if n > 1000 else 30):
+        words = items[k % 3][1].split()
+        for at in rng.sample(range(n), n // 5):
+            words[at] = rng.choice((f"w{rng.randrange(3000)}", "unknown"))
+        texts.append(" ".join([f"w{rng.randrange(3000)}" for _ in range(rng.randrange(50))] + words + ["end"] * rng.randrange(9)))
+        planted.add((k, k % 3))
+    found = {(d, leak["item_id"]) for d, leaks in enumerate(index.find(texts, decontaminate.Remembering(index.symbol))) for leak in leaks}
+    assert found <= planted and len(found) >= 0.98 * len(planted)
+
+
 def test_leaks_in_blocks_are_the_same(documents, benchmark_items, monkeypatch):
     rows = [(i, f"start{i} one two three four five six{i} seven") for i in range(6)]
     items = [(i, f"one two three four five six{i}") for i in range(6)]
