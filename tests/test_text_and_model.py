@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -298,3 +299,30 @@ def test_fold_scores_are_macro_f1(spark):
     got = {r.fold: r for r in evaluation.fold_scores(spark.createDataFrame(pairs, "fold int, label string, predicted string")).collect()}
     assert (got[0].n_runs, got[0].n_right) == (6, 5) and got[0].f1_macro == pytest.approx((6 / 7 + 4 / 5) / 2)
     assert (got[1].n_right, got[1].f1_macro) == (0, 0.0)
+
+
+def test_frequent_terms_by_brute_force(spark):
+    """Also with many ties at the bound, and where too many tie for a broadcast."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(40))) for _ in range(80)] + ["é w1 w2 w3", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counts = Counter(g for t in texts for g in grams(t or ""))
+    for n in (1, 7, 50, 300, 10_000):
+        expected = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:n]
+        for most in (text.MOST_BROADCAST, 3, 0):
+            assert sorted(map(tuple, text.frequent_terms(df, n, most).collect()), key=lambda c: (-c[1], c[0])) == expected
+
+
+def test_vocabulary_broadcasts_little_where_rare_terms_abound(spark, monkeypatch):
+    """Of rare tokens, as of runs that have one each, none is broadcast or counted in longer terms."""
+    sizes, plain = [], F.broadcast
+    monkeypatch.setattr(text.F, "broadcast", lambda df: (sizes.append(df.count()), plain(df))[1])
+    logs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.expr("concat('start node', id % 20, ' rare', id, ' other', id)").alias("text"))
+    top = text.vocabulary(logs, 15).collect()
+    assert len(top) == 15 and sizes and max(sizes) <= 60
+    # All buckets of the sketch are as full as the bound: words of 64 of them are broadcast.
+    sizes.clear()
+    found = spark.range(20_000).select(F.concat(F.lit("t"), "id").alias("term"))
+    width = 1 << 12
+    assert text._at_least(found, text._sketch(found, width), width, 1).count() == 20_000
+    assert sizes and max(sizes) <= width // 64
