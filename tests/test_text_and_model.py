@@ -11,6 +11,7 @@ from flowtriage.functions.ranking import hash_position
 from flowtriage.operators import evaluation, features, model, text
 from flowtriage.operators.classification import classify
 from flowtriage.operators.model import TriageClassifier
+from flowtriage.plans import registry
 
 TOKEN = re.compile(r"(?u)\b\w[\w./:-]+\b")
 TEXTS = [
@@ -237,6 +238,23 @@ def test_sample_is_bounded_per_label(spark):
     assert sorted(r["count"] for r in matrix.groupBy("label").count().collect()) == [5, 5]
 
 
+def test_trees_grow_on_all_labelled_runs_without_a_limit(spark):
+    rows = [(i, f"text number {i} of {'ab'[i % 2]}", "ab"[i % 2] if i < 500 else None) for i in range(510)]
+    fitted = TriageClassifier(max_features=30, max_iter=3, max_depth=2, per_label=None)
+    matrix = fitted.prepare(spark.createDataFrame(rows, "run_id bigint, text string, label string"))
+    assert sorted(r["count"] for r in matrix.groupBy("label").count().collect()) == [250, 250]
+
+
+def test_train_model_takes_every_run(spark, monkeypatch):
+    """More runs of a label than the documented sample has: all are grown on and counted."""
+    rows = [(i, f"of {'ab'[i % 2]}{'ab'[i % 2]} kind", "ab"[i % 2]) for i in range(500)]
+    corpus = spark.createDataFrame(rows, "run_id bigint, text string, label string")
+    monkeypatch.setattr(registry, "_runs", lambda *_: corpus)
+    monkeypatch.setattr(registry, "trained", lambda spark, sf, per_label=200: TriageClassifier(max_features=20, max_iter=2, max_depth=2, per_label=per_label).fit(corpus))
+    got = {r.label: (r.label_idx, r.n_sample, r.n_right) for r in registry.QUERIES["train_model"](spark, "").collect()}
+    assert got == {"a": (0, 250, 250), "b": (1, 250, 250)}
+
+
 def test_vocabulary_and_idf_are_those_of_all_runs(spark):
     rows = [(i, f"text {'ab'[i % 2]} only{i}", "ab"[i % 2]) for i in range(60)]
     corpus = spark.createDataFrame(rows, "run_id bigint, text string, label string")
