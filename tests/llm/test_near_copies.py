@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -304,3 +305,66 @@ def test_fuzzy_lines_split_a_very_common_line(documents, monkeypatch):
     rows = [(i, f"{shared}\nown line of number {i * 7919} only") for i in range(20)] + [(50, shared + "s")]
     got = {r.doc_id: r.removed for r in fuzzy_lines.duplicate_lines(documents(*rows)).collect()}
     assert got == {0: []} | {i: [0] for i in range(1, 20)} | {50: [0]}
+
+
+def test_pairs_of_long_lines_well_under_the_threshold_are_ruled_out_before_texts_are_joined(spark):
+    rng = random.Random(14)
+    base = prose(rng, 400, 9000)
+    lines = [changed(rng, base, 20) for _ in range(24)]
+    alike = [jaccard(a, b) for i, a in enumerate(lines) for b in lines[:i]]
+    assert 0.5 < min(alike) and max(alike) < 0.74
+    counts, words = fuzzy_lines.sketches(lines)
+    schema = "node bigint, other bigint, line string, n int, " + ", ".join(f"s{i} bigint" for i in range(fuzzy_lines.SKETCH))
+    rows = [(i, i, line, int(counts[i]), *map(int, words.view("int64")[i])) for i, line in enumerate(lines)]
+    rest = spark.createDataFrame([(1, i, i) for i in range(len(lines))], "bucket bigint, node bigint, component bigint")
+    found = fuzzy_lines.across_components(rest, spark.createDataFrame(rows, schema)).count()
+    assert found <= 0.2 * len(alike)
+
+
+@pytest.mark.parametrize("held", [5, 1 << 21])
+def test_members_travel_as_bytes_and_none_of_a_shared_bucket_is_lost(monkeypatch, held):
+    rng = random.Random(15)
+    lines = [prose(rng, 30, 3000) for _ in range(40)]
+    lines += [changed(rng, line) for line in lines[:20]] + lines[5:9]
+    nodes = [xxhash.xxh64_intdigest(line) >> 1 for line in lines]
+    batches = [
+        pa.RecordBatch.from_pydict({"node": pa.array(nodes[i : i + 9], pa.int64()), "line": pa.array(lines[i : i + 9])})
+        for i in range(0, len(lines), 9)
+    ]
+    keys = fuzzy_lines.band_keys(lines).view("int64")
+    buckets = defaultdict(set)
+    for node, own in zip(nodes, keys):
+        for bucket in own.tolist():
+            buckets[bucket].add(node)
+    expected = {(b, n) for b, own in buckets.items() if len(own) > 1 for n in own}
+    monkeypatch.setattr(fuzzy_lines, "DEALT_MEMBERS", 200)
+    monkeypatch.setattr(fuzzy_lines, "HELD_MEMBERS", held)
+    dealt = sorted((r for b in fuzzy_lines._dealt(iter(batches), 3) for r in b.to_pylist()), key=lambda r: r["part"])
+    assert {r["part"] for r in dealt} == {0, 1, 2} and len(dealt) < len(lines)
+    schema = pa.schema([("part", pa.int32()), ("buckets", pa.binary()), ("nodes", pa.binary())])
+    sent = [pa.RecordBatch.from_pylist(dealt[i : i + 2], schema) for i in range(0, len(dealt), 2)]
+    got = [(r["bucket"], r["node"]) for b in fuzzy_lines._shared(iter(sent)) for r in b.to_pylist()]
+    assert expected and set(got) == expected
+    assert held == 5 or len(got) == len(expected)
+
+
+def test_counts_by_hash_decide_as_the_sets_of_shingles_do():
+    rng = random.Random(16)
+    lines = ["", "ab", "ab\0", "abcdefgh", "abcdefghi", "x" * 40, "x" * 50, "abcdefghabcdefgh"]
+    for _ in range(40):
+        a = prose(rng, rng.randrange(2, 60), 900)
+        lines += [a, changed(rng, a, rng.randrange(1, 4))]
+    start = "".join(rng.choice("abcdefghij") for _ in range(15))
+    lines += [start + "A", start + "B"]  # exactly 0.8
+    pairs = [(a, b) for a in lines for b in lines]
+    got = fuzzy_lines.similar_pairs(*map(list, zip(*pairs)))
+    assert got == [jaccard(a, b) >= 0.8 for a, b in pairs] and sum(got) > len(lines)
+
+
+def test_texts_are_lower_cased_and_split_once(documents, monkeypatch):
+    seen = []
+    kept = fuzzy_lines.stored
+    monkeypatch.setattr(fuzzy_lines, "stored", lambda df, *a: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, *a))
+    rows = documents((1, "A line of text\nB\t\tb"), (2, "a line OF text"), (3, None)).withColumn("text", F.concat("text", F.lit("")))
+    assert {r.doc_id: r.n_lines for r in fuzzy_lines.duplicate_lines(rows).collect()} == {1: 2, 2: 1, 3: 0}
+    assert seen[0].count("lower(") == 1 and seen[0].count("split(") == 1
